@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import source_mix, target_sample, term_frequency, token_ids
+from millrace.llm import pair_defects, source_mix, target_sample, term_frequency, text_stats, token_ids
 from millrace.plans.runtime import table
 
 
@@ -18,6 +18,25 @@ def p1_terms(spark: SparkSession, d: str) -> DataFrame:
     return found.select("term", "n_occurrences", "n_records", "mark")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_defects(spark, d).where("defect is not null")
+
+
+def p2_defects(spark: SparkSession, d: str) -> DataFrame:
+    return pair_defects.pair_defects(pair_defects.records(table(spark, d, "pairs"), table(spark, d, "probe_answers")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_stats(spark, d).where("shape is not null").select("src", "rec_id", "shape")
+
+
+def p5_stats(spark: SparkSession, d: str) -> DataFrame:
+    texts = text_stats.record_texts(table(spark, d, "pairs"), table(spark, d, "conversation"))
+    found = text_stats.text_quality(texts, ["src", "rec_id"], "text")
+    named = [F.round(F.col("stats")[i], 6).alias(n) for i, n in enumerate(text_stats.STATS)]
+    return found.select("src", "rec_id", "lang", *named, F.round("d2", 3).alias("distance2"), F.transform("parts", lambda x: F.round(x, 3)).alias("parts"), "shape")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_report(spark, d).where("unmet").select("dataset_id", "field_name", "category")
 
