@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import pair_defects, source_mix, target_sample, term_frequency, text_stats, token_ids
+from millrace.llm import pair_defects, reading_level, source_mix, target_sample, term_frequency, text_stats, token_ids
 from millrace.plans.runtime import table
 
 
@@ -65,6 +65,14 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, d, "documents"), table(spark, d, "source_target"))[0]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_levels(spark, d).where("level_name <> 'medium'").select("doc_id", "level_name")
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_level.reading_levels(table(spark, d, "documents"), table(spark, d, "level_reference"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 

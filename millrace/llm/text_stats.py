@@ -35,6 +35,8 @@ _WORDISH = regex.compile(r"[\p{L}\p{M}\p{N}]")
 _VOWEL = regex.compile(r"[aeiouyæøœ]")
 _SPACED = regex.compile(r"\S(?: {2,}|\t+)\S")
 _MARK = regex.compile(r"[\p{S}\p{P}]")
+#: Words with which a line is a clause, not an entry of a list.
+CLAUSE_WORDS = frozenset("i we he she it you they was were is are am has have had did do does can could will would my who".split())
 _NO_SPACE = frozenset(("ja", "zh", "th", "ko"))
 _RULE = regex.compile(r"[|:\-=+ ]+")
 
@@ -103,10 +105,11 @@ def measure(text: str) -> tuple[str, list[float], dict[str, float]]:
         len(items) / len(lines) if lines else 0.0, len(short) / len(lines) if len(lines) >= 3 else 0.0, rows if len(lines) >= 2 else 0.0, tag, odd, sum(c.isupper() for c in text) / max(1, wordish),
     ]
     prose = [line for line in lines if len(words(line)) >= 9 and not _ITEM.match(line)]
+    clauses = sum(not CLAUSE_WORDS.isdisjoint(words(line)) for line in lines) if lang in ("en", "") else 0
     more = {
         "lines": len(lines), "tokens": len(tokens), "prose": sum(map(len, prose)) / max(1, sum(map(len, lines))), "items": sum(map(len, items)) / max(1, sum(map(len, lines))), "vowels": vowels, "latin": len(latin), "density": density, "top": top, "top_char": top_char,
         "long_share": longest / max(1, solid), "delimiter": len(delimiter), "sentences": len({s.strip() for s in regex.split(r"[.!?。]\s*", text) if s.strip()}) / max(1, len([s for s in regex.split(r"[.!?。]\s*", text) if s.strip()])),
-        "longest_line": max((len(line.split()) for line in lines), default=0),
+        "clauses": clauses / max(1, len(lines)), "longest_line": max((len(line.split()) for line in lines), default=0),
     }
     return lang, stats, more
 
@@ -121,7 +124,7 @@ def shape_of(lang: str, stats: list[float], more: dict[str, float]) -> str | Non
     if more["lines"] >= 3 and more["prose"] < 0.3:
         if s["item_lines"] >= 0.6 and more["items"] >= 0.5:
             return "list"
-        if s["short_lines"] >= 0.85 and more["longest_line"] <= 9 and s["common_words"] < 0.6:
+        if s["short_lines"] >= 0.85 and more["longest_line"] <= 9 and s["common_words"] < 0.6 and more["clauses"] < 0.35:
             return "list"
     if s["symbol_ratio"] > 0.3:
         return "junk"
