@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import pair_defects, reading_level, source_mix, target_sample, term_frequency, text_stats, token_ids
+from millrace.llm import pair_defects, personal_data, reading_level, source_mix, target_sample, term_frequency, text_stats, token_ids
 from millrace.plans.runtime import table
 
 
@@ -26,6 +26,16 @@ def p2_defects(spark: SparkSession, d: str) -> DataFrame:
     return pair_defects.pair_defects(pair_defects.records(table(spark, d, "pairs"), table(spark, d, "probe_answers")))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = personal_data.find_personal(personal_data.turns(table(spark, d, "conversation")), table(spark, d, "known_name"))
+    return found.select("msg_id", "kind", "found").distinct()
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    texts = personal_data.turns(table(spark, d, "conversation"))
+    return personal_data.redact(texts, personal_data.find_personal(texts, table(spark, d, "known_name")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_stats(spark, d).where("shape is not null").select("src", "rec_id", "shape")
 
