@@ -44,6 +44,7 @@ _ADDRESS = regex.compile(
     rf"|\d{{1,5}}(?:\s?(?:bis|ter))?,?\s(?:{'|'.join(ROMANCE_STREETS)})\s(?:(?:de|du|des|la|le|les|aux|au|del|della|dei|dos|da|d'|l')\s?)*{_CAP}(?:[- ](?:(?:de|du|des|la|le|les|aux|et)\s)?{_CAP}){{0,3}}{_TAIL}"
     rf"|(?:{'|'.join(w.capitalize() for w in ROMANCE_STREETS if w not in ('place', 'avenue', 'square', 'passage', 'route'))})\s(?:(?:de|du|des|la|le|les|del|della|dei)\s)*{_CAP}(?:\s{_CAP}){{0,2}},?\s\d{{1,5}}{_TAIL}"
     rf"|(?:{_CAP}[\s-])?\p{{Lu}}[\p{{Ll}}-]*(?i:{'|'.join(regex.escape(w) for w in GERMAN_STREETS)})\s\d{{1,4}}\s?[a-z]?(?![\p{{L}}\d]){_TAIL}"
+    rf"|(?:(?:Am|An der|Im|In der|Zum|Zur|Auf der|Auf dem|Unter den|Hinter der)\s)?{_CAP}(?:\s{_CAP}){{0,2}}\s\d{{1,4}}(?=,\s\d{{5}}\s\p{{Lu}}){_TAIL}"
     rf"|(?:P\.?\s?O\.?\sBox|Postfach|Apartado|BP)\s\d+{_TAIL}"
     rf")"
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import pair_defects, personal_data, reading_level, source_mix, target_sample, term_frequency, text_stats, token_ids
+from millrace.llm import pair_defects, personal_data, reading_level, similarity_clusters, source_mix, target_sample, term_frequency, text_stats, token_ids
 from millrace.plans.runtime import table
 
 
@@ -26,6 +26,18 @@ def p2_defects(spark: SparkSession, d: str) -> DataFrame:
     return pair_defects.pair_defects(pair_defects.records(table(spark, d, "pairs"), table(spark, d, "probe_answers")))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    faces = similarity_clusters.valid_faces(table(spark, d, "face_cache"))
+    groups, _ = similarity_clusters.similar_groups(faces.select("id", "vec"))
+    return similarity_clusters.face_clusters(faces, groups).select("face_key", "cluster_key")
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    faces = similarity_clusters.valid_faces(table(spark, d, "face_cache"))
+    groups, links = similarity_clusters.similar_groups(faces.select("id", "vec"))
+    return similarity_clusters.cluster_report(faces, groups, links)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     found = personal_data.find_personal(personal_data.turns(table(spark, d, "conversation")), table(spark, d, "known_name"))
     return found.select("msg_id", "kind", "found").distinct()
