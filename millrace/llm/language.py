@@ -34,7 +34,14 @@ _LATIN = regex.compile(r"\p{Latin}")
 _MARKS = {"de": "äöüß", "fr": "éèêàçùâîôëïœ", "es": "ñ¿¡áíóú", "it": "èòàùì", "pt": "ãõçáâê"}
 
 
+#: ASCII characters that end a word become blanks; those that spoil one stay.
+_ASCII_WORDS = {i: " " for i in range(128) if not (chr(i).isalnum() or chr(i) in "_/+=")}
+
+
 def words(text: str) -> list[str]:
+    """The whole words of a text in small letters; runs with digits, slashes and the like in them aren't words."""
+    if text.isascii():
+        return [w for w in text.lower().translate(_ASCII_WORDS).split() if w.isalpha()]
     return [w.lower() for w in _WORD.findall(text)]
 
 
@@ -42,35 +49,39 @@ def function_words(lang: str) -> frozenset[str]:
     return _LISTS.get(lang, frozenset())
 
 
-def language(text: str) -> str:
-    """A language code, '' where nothing tells: no letters, or Latin letters without function words."""
-    letters = len(_LETTER.findall(text))
-    if not letters:
-        return ""
-    latin = len(_LATIN.findall(text))
-    if latin * 2 < letters:
-        counts = {k: len(p.findall(text)) for k, p in _SCRIPTS}
-        if counts["ja"] * 10 >= letters:
-            return "ja"
-        best = max(counts, key=counts.get)
-        return best if counts[best] else ""
-    score: Counter[str] = Counter()
-    found = words(text)
-    hits = 0
-    for w in found:
-        hits += w in _WEIGHT
-        for k, v in _WEIGHT.get(w, ()):
-            score[k] += v
-    if hits * 12 < len(found):
+def language(text: str, found: list[str] | None = None) -> str:
+    """A language code, '' where nothing tells: no letters, or Latin letters without function words.
+
+    found: the text's words, if the caller has them already.
+    """
+    plain = text.isascii()
+    if not plain:
+        letters = len(_LETTER.findall(text))
+        if not letters:
+            return ""
+        if len(_LATIN.findall(text)) * 2 < letters:
+            counts = {k: len(p.findall(text)) for k, p in _SCRIPTS}
+            if counts["ja"] * 10 >= letters:
+                return "ja"
+            best = max(counts, key=counts.get)
+            return best if counts[best] else ""
+    found = words(text) if found is None else found
+    told = [w for w in found if w in _WEIGHT]
+    if not told or len(told) * 12 < len(found):
         return ""
-    low = text.lower()
-    for k, marks in _MARKS.items():
-        if score[k]:
-            score[k] += 0.2 * sum(low.count(c) for c in marks)
-    if not score:
+    score: dict[str, float] = {}
+    for w in told:
+        for k, v in _WEIGHT[w]:
+            score[k] = score.get(k, 0.0) + v
+    if not plain:
+        low = text.lower()
+        for k, marks in _MARKS.items():
+            if k in score:
+                score[k] += 0.2 * sum(low.count(c) for c in marks)
+    ranked = sorted(score.values(), reverse=True)
+    if ranked[0] < 0.5 or (len(ranked) > 1 and ranked[0] == ranked[1]):
         return ""
-    (best, n), *rest = score.most_common(2)
-    return best if n >= 0.5 and (not rest or n > rest[0][1]) else ""
+    return max(score, key=score.get)
 
 
 def asked_language(prompt: str) -> str:

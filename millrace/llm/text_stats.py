@@ -7,6 +7,7 @@ The Mahalanobis distance from them marks outliers, each statistic's part of it s
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -76,40 +77,73 @@ def _tags(body: str) -> tuple[float, float]:
     return best
 
 
+_ASCII = bytes(range(128))
+_NOT_WORDISH = bytes(i for i in _ASCII if not chr(i).isalnum())
+_NOT_DIGIT = bytes(i for i in _ASCII if not chr(i).isdigit())
+_NOT_UPPER = bytes(i for i in _ASCII if not chr(i).isupper())
+_NOT_VOWEL = bytes(i for i in range(256) if chr(i) not in "aeiouy ")
+_END_MARKS = frozenset(".!?…。！？\"')”")
+_MID_MARKS = frozenset(".!?:…。！？,")
+
+
+def _counts(text: str) -> tuple[int, int, int]:
+    """How many letters and digits, digits, and capitals a text has."""
+    if text.isascii():
+        raw = text.encode()
+        return len(raw.translate(None, _NOT_WORDISH)), len(raw.translate(None, _NOT_DIGIT)), len(raw.translate(None, _NOT_UPPER))
+    return len(_WORDISH.findall(text)), sum(map(str.isdigit, text)), sum(map(str.isupper, text))
+
+
 def measure(text: str) -> tuple[str, list[float], dict[str, float]]:
     """The language, the statistics in the order of STATS, and what the shape rules need besides."""
-    lang = language(text)
     lines = [s for line in text.split("\n") if (s := line.strip())]
     tokens = text.split()
-    n, solid = len(text), sum(map(len, tokens))
+    n_lines, n_tokens, solid = len(lines), len(tokens), sum(map(len, tokens))
     w = words(text)
-    known = function_words(lang) if lang in ("en", "de", "fr", "es", "it", "pt", "nl") else None
-    wordish = len(_WORDISH.findall(text))
-    digits = sum(c.isdigit() for c in text)
-    items = [line for line in lines if _ITEM.match(line)]
-    short = [line for line in lines if len(line.split()) <= 7 and line[-1] not in ".!?:…。！？,"]
-    rows, delimiter = _fields(lines) if len(lines) >= 2 else (0.0, "")
-    tag, density = _tags(text) if len(lines) <= 2 else (0.0, 0.0)
-    counts = Counter(t.lower() for t in tokens)
-    top = counts.most_common(1)[0][1] / len(tokens) if len(tokens) >= 6 else 0.0
-    chars = Counter(text)
-    top_char = max(chars.values()) / n if n >= 20 else 0.0
+    lang = language(text, w)
+    known = function_words(lang)
+    wordish, digits, capitals = _counts(text)
+    items, short, prose, rows, delimiter, clauses = 0, 0, 0, 0.0, "", 0
+    in_items = in_prose = longest_line = 0
+    if n_lines >= 2:
+        rows, delimiter = _fields(lines)
+        for line in lines:
+            own = line.split()
+            longest_line = max(longest_line, len(own))
+            item = _ITEM.match(line) is not None
+            items += item
+            in_items += item * len(line)
+            short += len(own) <= 7 and line[-1] not in _MID_MARKS
+            own_words = words(line)
+            clauses += not CLAUSE_WORDS.isdisjoint(own_words)
+            if len(own_words) >= 9 and not item:
+                in_prose += len(line)
+    elif lines:
+        longest_line = n_tokens
+        if _ITEM.match(lines[0]):
+            items, in_items = 1, len(lines[0])
+        elif len(w) >= 9:
+            in_prose = len(lines[0])
+    size = sum(map(len, lines)) or 1
+    tag, density = _tags(text) if n_lines <= 2 and max(map(text.count, ",;|/·•#"), default=0) >= 4 else (0.0, 0.0)
+    top = max(Counter(map(str.lower, tokens)).values()) / n_tokens if n_tokens >= 6 else 0.0
+    chars = set(text)
+    top_char = max(map(text.count, chars)) / len(text) if len(text) >= 20 and len(chars) <= 12 else 0.0
     longest = max(map(len, tokens), default=0)
-    latin = [x for x in w if x.isascii() and len(x) >= 3]
-    odd = sum(1 for x in latin if not _VOWEL.search(x)) / len(latin) if latin else 0.0
-    vowels = sum(len(_VOWEL.findall(x)) for x in latin) / max(1, sum(map(len, latin)))
-    ends = sum(line[-1] in ".!?…。！？”\"')" for line in lines) / len(lines) if lines else 0.0
+    latin = [x for x in w if len(x) >= 3 and x.isascii()]
+    kept = " ".join(latin).encode().translate(None, _NOT_VOWEL).split(b" ")
+    odd = kept.count(b"") / len(latin) if latin else 0.0
+    vowels = sum(map(len, kept)) / max(1, sum(map(len, latin)))
+    ends = sum(line[-1] in _END_MARKS for line in lines) / n_lines if lines else 0.0
+    spaced = lang not in _NO_SPACE
     stats = [
-        min(1.0, np.log1p(len(w)) / 7), min(2.0, (sum(map(len, w)) / len(w)) / 10) if w and lang not in _NO_SPACE else 0.45, 1 - wordish / solid if solid else 1.0, digits / solid if solid else 0.0,
-        ends, sum(x in known for x in w) / len(w) if known and w else (0.45 if lang else 0.0), min(1.0, longest / 60) if lang not in _NO_SPACE else 0.15, max(top, top_char if top_char > 0.3 else 0.0),
-        len(items) / len(lines) if lines else 0.0, len(short) / len(lines) if len(lines) >= 3 else 0.0, rows if len(lines) >= 2 else 0.0, tag, odd, sum(c.isupper() for c in text) / max(1, wordish),
+        min(1.0, math.log1p(len(w)) / 7), min(2.0, (sum(map(len, w)) / len(w)) / 10) if w and spaced else 0.45, 1 - wordish / solid if solid else 1.0, digits / solid if solid else 0.0,
+        ends, sum(map(known.__contains__, w)) / len(w) if known and w else (0.45 if lang and not known else 0.0), min(1.0, longest / 60) if spaced else 0.15, max(top, top_char if top_char > 0.3 else 0.0),
+        items / n_lines if lines else 0.0, short / n_lines if n_lines >= 3 else 0.0, rows, tag, odd, capitals / max(1, wordish),
     ]
-    prose = [line for line in lines if len(words(line)) >= 9 and not _ITEM.match(line)]
-    clauses = sum(not CLAUSE_WORDS.isdisjoint(words(line)) for line in lines) if lang in ("en", "") else 0
     more = {
-        "lines": len(lines), "tokens": len(tokens), "prose": sum(map(len, prose)) / max(1, sum(map(len, lines))), "items": sum(map(len, items)) / max(1, sum(map(len, lines))), "vowels": vowels, "latin": len(latin), "density": density, "top": top, "top_char": top_char,
-        "long_share": longest / max(1, solid), "delimiter": len(delimiter), "sentences": len({s.strip() for s in regex.split(r"[.!?。]\s*", text) if s.strip()}) / max(1, len([s for s in regex.split(r"[.!?。]\s*", text) if s.strip()])),
-        "clauses": clauses / max(1, len(lines)), "longest_line": max((len(line.split()) for line in lines), default=0),
+        "lines": n_lines, "tokens": n_tokens, "prose": in_prose / size, "items": in_items / size, "vowels": vowels, "latin": len(latin), "density": density, "top": top,
+        "long_share": longest / max(1, solid), "clauses": clauses / max(1, n_lines) if lang in ("en", "") else 0.0, "longest_line": longest_line,
     }
     return lang, stats, more
 
@@ -142,14 +176,21 @@ def shape_of(lang: str, stats: list[float], more: dict[str, float]) -> str | Non
 _ROW = T.StructType([T.StructField("lang", T.StringType()), T.StructField("stats", T.ArrayType(T.DoubleType())), T.StructField("hint", T.StringType())])
 
 
+def _lists(x: np.ndarray) -> pa.Array:
+    """A matrix as an Arrow list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel()))
+
+
 def _measured(keys: list[T.StructField], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            langs, rows, hints = [], [], []
             for t in b.column(b.schema.get_field_index(text)).to_pylist():
                 lang, stats, more = measure(t)
-                out.append((lang, stats, shape_of(lang, stats, more) if len(t) >= MIN_CHARS else None))
-            cols = [pa.array([r[i] for r in out], type=t) for i, t in enumerate((pa.string(), pa.list_(pa.float64()), pa.string()))]
+                langs.append(lang)
+                rows.append(stats)
+                hints.append(shape_of(lang, stats, more) if len(t) >= MIN_CHARS else None)
+            cols = [pa.array(langs, type=pa.string()), _lists(np.array(rows, dtype=np.float64).reshape(len(rows), len(STATS))), pa.array(hints, type=pa.string())]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in keys), *cols], names=[*(f.name for f in keys), "lang", "stats", "hint"])
 
     return run
@@ -203,14 +244,14 @@ def with_distance(measured: DataFrame, centre: dict[str, tuple[np.ndarray, np.nd
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.array(b.column(b.schema.get_field_index("stats")).to_pylist(), dtype=float)
+            x = np.asarray(b.column(b.schema.get_field_index("stats")).flatten(), dtype=float).reshape(b.num_rows, -1)
             parts = np.zeros_like(x)
             langs = np.array([g if g in centre else "" for g in b.column(b.schema.get_field_index("lang")).to_pylist()])
             for g in set(langs):
                 at = langs == g
                 z = x[at] - centre[g][0]
                 parts[at] = z * (z @ centre[g][1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts.sum(1)), pa.array(list(parts), type=pa.list_(pa.float64()))], names=[f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts.sum(1)), _lists(parts)], names=[f.name for f in schema.fields])
 
     return measured.mapInArrow(run, schema)
 
