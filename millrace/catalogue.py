@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators import nested
 from millrace.plans.runtime import spread, table
 
+MODULES = ("chat", "quality")
+
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.export_links(spread(table(spark, d, "raw_export").select("export_id", "payload")))
 
 
+def _modules():
+    return [import_module(f"millrace.queries.{m}") for m in MODULES]
+
+
 def queries() -> dict:
-    return {"p6_found": p6_found}
+    found = {"p6_found": p6_found}
+    for m in _modules():
+        found |= m.QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found: dict[str, str] = {}
+    for m in _modules():
+        found |= m.SQL
+    return found
