@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.operators import nested
 from millrace.plans.runtime import spread, table
 
-MODULES = ("chat", "quality")
+MODULES = ("chat", "quality", "vectors", "images", "misc")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

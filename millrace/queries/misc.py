@@ -1,0 +1,201 @@
+"""Traits, splits and presets, exports, logs and scans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millrace.operators import scan, splits, traits
+from millrace.plans.runtime import shared_dir, table
+from millrace.queries import base as b
+from millrace.queries import images as im
+from millrace.sources import files
+from millrace.streaming import logs
+
+#: Words that occur in the test answers.
+LOOKS = ["long dark hair", "curly hair", "green eyes", "brown eyes", "freckles", "bright eyes", "round face"]
+GRID = {"who": ["a painter", "a baker", "a cook", "a nurse"], "where": ["at home", "in the market", "on the roof", "by the lake", "in the studio"], "light": ["in soft light", "in hard light", "at dawn", "at dusk"]}
+
+
+def gender_votes(spark, d):
+    return b.probes(spark, d).groupBy(traits.vote("response").alias("vote")).agg(F.count("*").alias("n"))
+
+
+def gender_votes_whole_words(spark, d):
+    return b.probes(spark, d).groupBy(traits.vote("response", whole_words=True).alias("vote")).agg(F.count("*").alias("n"))
+
+
+def modal_trait(spark, d):
+    return traits.modal(b.probes(spark, d), "prompt", traits.vote("response", whole_words=True))
+
+
+def keyword_topk(spark, d):
+    return traits.keyword_counts(b.probes(spark, d), "prompt", "response", LOOKS, 5)
+
+
+def vibe_topk(spark, d):
+    return traits.keyword_counts(b.probes(spark, d), "prompt", "response", traits.VIBE, 3)
+
+
+def numbers_mean(spark, d):
+    return traits.number_means(b.probes(spark, d), "prompt", "response")
+
+
+def place_votes(spark, d):
+    return traits.place_votes(b.turns(spark, d).where("text is not null").withColumn("k", F.lit("all")), "k", "text", after=("in", "from", "to", "by")).select("place", "n")
+
+
+def quoted_names(spark, d):
+    return traits.quoted_names(b.docs(spark, d).where("text is not null").select(F.lit("all").alias("k"), F.concat(F.lit('"'), F.array_join(F.slice(F.split("text", " "), 1, 2), " "), F.lit('" '), F.col("text")).alias("text")), "k", "text").select("name", "n")
+
+
+def first_answers(spark, d):
+    return traits.first_answers(b.probes(spark, d), "prompt", "answer_id", "response")
+
+
+def prompt_grid(spark, d):
+    return traits.prompt_grid(spark, 200, GRID, "%s %s %s")
+
+
+def trait_scenarios(spark, d):
+    return traits.scenarios(modal_trait(spark, d).select("prompt", "value")).select("prompt", "n", "scenario")
+
+
+def train_val_split(spark, d):
+    return splits.split(b.docs(spark, d).select("doc_id"), "doc_id")
+
+
+def merge_splits(spark, d):
+    docs, prs = train_val_split(spark, d).select(F.col("doc_id").alias("id"), "split"), splits.split(b.pairs(spark, d).select("pair_id"), "pair_id").select(F.col("pair_id").alias("id"), "split")
+    return splits.merge([("documents", docs), ("pairs", prs), ("absent", None)]).groupBy("dataset", "split").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
+def resolved_paths(spark, d):
+    rows = table(spark, d, "part").select("p_partkey")
+    a = rows.where("p_partkey % 3 = 0").select("p_partkey", F.format_string("/a/%d", "p_partkey").alias("path"))
+    c = rows.where("p_partkey % 2 = 0").select("p_partkey", F.format_string("/b/%d", "p_partkey").alias("path"))
+    return splits.resolved(rows, "p_partkey", [a, c])
+
+
+def training_plan(spark, d):
+    sizes = im._shots(spark, d).groupBy("dataset_id").agg(F.count("*").alias("n"))
+    return splits.training_plan(sizes, "n")
+
+
+def memory_batches(spark, d):
+    return table(spark, d, "part").select("p_partkey", splits.memory_batch(F.col("p_size") / 2, F.lit(6)).alias("batch"))
+
+
+def config_documents(spark, d):
+    plan = training_plan(spark, d)
+    return plan.select("dataset_id", splits.config_json(epochs=F.col("epochs"), batch=F.col("batch"), name=F.concat(F.lit("run_"), F.col("dataset_id"))).alias("config"))
+
+
+def newest_orders(spark, d):
+    return splits.newest(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").limit(50).select("o_orderkey")
+
+
+def last_steps(spark, d):
+    s = F.col("s_suppkey")
+    return table(spark, d, "supplier").select("s_suppkey", splits.last_step({"scan": s % 2 == 0, "cluster": s % 4 == 0, "train": s % 8 == 0}).alias("step"))
+
+
+def taxonomy_prompt(spark, d):
+    rows = [(k, i, t) for k, ts in im.TAXONOMY.items() for i, t in enumerate(ts)]
+    return splits.taxonomy_prompt(spark.createDataFrame(rows, "category string, ord int, term string"))
+
+
+def numbered_export(spark, d):
+    return files.numbered(table(spark, d, "supplier").select("s_name"), "My Set", "s_name")
+
+
+def manifest_json(spark, d):
+    return files.manifest(table(spark, d, "nation"), "n_regionkey", "n_name").select("n_regionkey", "manifest")
+
+
+def columnar_messages(spark, d):
+    from millrace.operators import chat
+
+    rows = b.pairs(spark, d).select("pair_id", chat.chat_messages().alias("messages"))
+    return files.columnar(rows).select("pair_id", F.get_json_object("messages", "$[1].role").alias("role"))
+
+
+def props_json(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+def export_formats(spark, d):
+    return table(spark, d, "raw_export").dropDuplicates(["export_id"]).groupBy(files.detect_format("payload").alias("format")).agg(F.count("*").alias("n"))
+
+
+def parsed_exports(spark, d):
+    return files.parse_exports(table(spark, d, "raw_export").dropDuplicates(["export_id"]), "export_id", "payload")
+
+
+def pickle_scan(spark, d):
+    import pickle
+
+    bad = b"cos\nsystem\n(S'true'\ntR."
+    made = F.when(F.col("p_partkey") % 3 == 0, F.lit(bytearray(bad))).when(F.col("p_partkey") % 3 == 1, F.lit(bytearray(pickle.dumps({"a": [1, 2]})))).otherwise(F.lit(bytearray(b"\x80\x04broken")))
+    return scan.pickle_scan(table(spark, d, "part").select("p_partkey", made.alias("content")), "p_partkey").select("p_partkey", F.array_join("imports", ",").alias("imports"), "risk")
+
+
+def streaming_latest(spark, d):
+    """The last event of each user by a stream over the table's file, merged into a store of its own."""
+    import uuid
+
+    source = f"{d}/events.parquet"
+    store = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rows = logs.stream(spark, d, spark.read.parquet(source).schema, names="events.parquet")
+    query = logs.merge_into(rows.select("user_id", "event_id", "event_type"), f"{store}/data", "user_id", "event_id", f"{store}/log")
+    query.awaitTermination()
+    last = query.lastProgress["batchId"] if query.lastProgress else 0
+    return spark.read.parquet(f"{store}/data/{last}")
+
+
+def hourly_events(spark, d):
+    return logs.window_counts(table(spark, d, "events"), "ts", "event_type", "1 day")
+
+
+_VOTE = "CASE " + " ".join(f"WHEN {b.contains('lower(response)', ts)} THEN '{k}'" for k, ts in traits.GENDER.items()) + " END"
+_PAD = rf"(' ' || trim(regexp_replace(lower(response), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) || ' ')"
+_WORDVOTE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains({_PAD}, ' {t} ')" for t in ts) + f" THEN '{k}'" for k, ts in traits.GENDER.items()) + " END"
+_MODAL = f"WITH {b.PROBES}, c AS (SELECT prompt, {_WORDVOTE} AS value, count(*) AS n FROM probes GROUP BY ALL), t AS (SELECT prompt, sum(n) AS total FROM c GROUP BY prompt), modal AS (SELECT prompt, value, n, round(n / total, 6) AS confidence FROM c JOIN t USING (prompt) WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY prompt ORDER BY n DESC, value) = 1) "
+
+
+def _top(words, k):
+    return f"WITH {b.PROBES}, k(keyword) AS (VALUES {', '.join(f'({w!r})' for w in words)}), c AS (SELECT prompt, keyword, count(*) AS n FROM probes, k WHERE contains(lower(response), keyword) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY n DESC, keyword) AS r FROM c QUALIFY r <= {k}"
+
+
+_SPLIT = "split_{1} AS (SELECT {0} AS id, CASE WHEN row_number() OVER (ORDER BY md5({0}::VARCHAR), {0}) <= trunc((SELECT count(*) FROM {1}) * 0.9::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM {1})"
+_PLAN = f"{im._S}, sizes AS (SELECT dataset_id, count(*) AS n FROM shots GROUP BY 1), pl AS (SELECT *, CASE WHEN n < 20 THEN 20 WHEN n < 50 THEN 15 WHEN n < 100 THEN 10 ELSE 8 END AS epochs, CASE WHEN n < 30 THEN 1 WHEN n < 100 THEN 2 ELSE 4 END AS batch FROM sizes)"
+_TAX = {k: t for k, t in im.TAXONOMY.items() if k[0] != "_"}
+SQL = {
+    "gender_votes": f"WITH {b.PROBES} SELECT {_VOTE} AS vote, count(*) AS n FROM probes GROUP BY 1",
+    "gender_votes_whole_words": f"WITH {b.PROBES} SELECT {_WORDVOTE} AS vote, count(*) AS n FROM probes GROUP BY 1",
+    "modal_trait": _MODAL + "SELECT * FROM modal",
+    "keyword_topk": _top(LOOKS, 5),
+    "vibe_topk": _top(traits.VIBE, 3),
+    "numbers_mean": rf"WITH {b.PROBES}, x AS (SELECT prompt, list_filter(list_transform(list_filter({b.words('response')}, lambda t: regexp_full_match(t, '[0-9]{{1,9}}')), lambda t: t::BIGINT), lambda v: v BETWEEN 10 AND 100) AS ns FROM probes), s AS (SELECT prompt, sum(len(ns)) AS n, sum(list_sum(ns)) AS s, count(*) AS answers FROM x GROUP BY prompt) SELECT prompt, trunc(s / n)::INT AS age, round(n / answers, 6) AS confidence FROM s WHERE n > 0",
+    "place_votes": rf"WITH {b.TURNS}, w AS (SELECT regexp_split_to_array({b.strip('text')}, '[\s\p{{Z}}]+') AS w FROM turns WHERE text IS NOT NULL), p AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: {{'a': w[i], 'b': w[i + 1]}})) AS p FROM w) SELECT p.b AS place, count(*) AS n FROM p WHERE lower(p.a) IN ('in', 'from', 'to', 'by') AND regexp_matches(p.b, '^\p{{Lu}}') AND length(p.b) > 3 GROUP BY 1",
+    "quoted_names": rf"""WITH {b.DOCS}, q AS (SELECT unnest(regexp_extract_all('"' || array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') || '" ' || text, '"([^"]+)"', 1)) AS name FROM docs WHERE text IS NOT NULL) SELECT name, count(*) AS n FROM q WHERE len(list_filter(regexp_split_to_array(name, '[\s\p{{Z}}]+'), lambda x: x <> '')) = 2 GROUP BY 1""",
+    "first_answers": f"WITH {b.PROBES} SELECT substring(prompt, 1, 50) AS prompt, row_number() OVER (PARTITION BY prompt ORDER BY answer_id) AS r, response FROM probes QUALIFY r <= 5".replace("QUALIFY r <= 5", "QUALIFY row_number() OVER (PARTITION BY probes.prompt ORDER BY answer_id) <= 5").replace("(PARTITION BY prompt ORDER", "(PARTITION BY probes.prompt ORDER"),
+    "prompt_grid": "SELECT i::INT AS i, " + " || ' ' || ".join(f"{vs!r}[(i % {len(vs)} + 1)::INT]" for vs in GRID.values()) + " AS prompt FROM range(200) t(i)",
+    "trait_scenarios": _MODAL + "SELECT prompt, n.i AS n, value || n.s AS scenario FROM modal, (VALUES (0, ' at home'), (1, ' at work'), (2, ' outdoors')) n(i, s)",
+    "train_val_split": f"WITH {b.DOCS}, {_SPLIT.format('doc_id', 'docs')} SELECT id AS doc_id, split FROM split_docs",
+    "merge_splits": f"WITH {b.DOCS}, {b.PAIRS}, {_SPLIT.format('doc_id', 'docs')}, {_SPLIT.format('pair_id', 'prs')} SELECT dataset, split, count(*) AS n, min(id) AS first FROM (SELECT 'documents' AS dataset, * FROM split_docs UNION ALL SELECT 'pairs', * FROM split_prs) GROUP BY ALL",
+    "resolved_paths": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '/a/' ELSE '/b/' END || p_partkey AS path FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0",
+    "training_plan": f"WITH {_PLAN} SELECT *, n // batch AS steps, n // batch * epochs AS max_steps, trunc(n // batch * epochs * 0.1::DOUBLE)::BIGINT AS warmup FROM pl",
+    "memory_batches": "SELECT p_partkey, least(CASE WHEN p_size / 2 > 16 THEN 8 WHEN p_size / 2 > 10 THEN 6 WHEN p_size / 2 > 6 THEN 4 WHEN p_size / 2 > 3 THEN 2 ELSE 1 END, 6) AS batch FROM part",
+    "config_documents": f"WITH {_PLAN} SELECT dataset_id, printf('{{\"epochs\":%d,\"batch\":%d,\"name\":\"run_%s\"}}', epochs, batch, dataset_id) AS config FROM pl",
+    "newest_orders": "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
+    "last_steps": "SELECT s_suppkey, CASE WHEN s_suppkey % 8 = 0 THEN 'train' WHEN s_suppkey % 4 = 0 THEN 'cluster' WHEN s_suppkey % 2 = 0 THEN 'scan' ELSE 'none' END AS step FROM supplier",
+    "taxonomy_prompt": "SELECT '" + "' || chr(10) || '".join(f"{k}: {', '.join(t)}" for k, t in sorted(_TAX.items())) + "' AS prompt",
+    "numbered_export": "SELECT s_name, printf('my_set_%04d', row_number() OVER (ORDER BY s_name)) AS export_name FROM supplier",
+    "manifest_json": "SELECT n_regionkey, '[' || string_agg('{\"n_name\":\"' || n_name || '\"}', ',' ORDER BY n_name) || ']' AS manifest FROM nation GROUP BY 1",
+    "columnar_messages": f"WITH {b.PAIRS} SELECT pair_id, 'assistant' AS role FROM prs",
+    "props_json": "SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events",
+    "hourly_events": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "streaming_latest": "SELECT user_id, event_id, event_type FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
+    "pickle_scan": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'os.system' ELSE '' END AS imports, CASE p_partkey % 3 WHEN 0 THEN 'dangerous' WHEN 1 THEN 'safe' ELSE 'damaged' END AS risk FROM part",
+}
+QUERIES = {k: globals()[k] for k in SQL} | {"export_formats": export_formats, "parsed_exports": parsed_exports}
