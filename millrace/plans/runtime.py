@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_FOLDERS: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -71,6 +72,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def _tables(spark: SparkSession) -> str:
+    """The application's own folder for cut tables, removed when its JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/millrace-tables/{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _FOLDERS.add(path)
+    return path
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """df written as a table in the shared folder and read again.
 
@@ -78,7 +91,7 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     an RDD checkpoint the table is columnar and compressed, and later stages prune it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/millrace-tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
