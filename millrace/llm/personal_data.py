@@ -235,13 +235,16 @@ def find_personal(turns: DataFrame, known: DataFrame, rounds: int = ROUNDS, shar
     uncommon = every_word.join(common.withColumn("c", F.lit(1)), "word", "left").groupBy("run").agg(F.count("c").alias("c")).where("c = 0").select("run")
     run_words = cut(every_word.join(uncommon, "run"), "run-words")
     lexicon = seeds.select("word", F.lit(1.0).alias("s"))
-    rated = None
+    rated = leads = None
     for _ in range(rounds):
         run_scores = run_words.join(lexicon, "word", "left").groupBy("run").agg(F.min(F.coalesce("s", F.lit(0.0))).alias("s"))
         rated = cut(_rate(runs.select("pattern", "run"), run_scores, "run", 3), "patterns")
         good = rated.where(F.col("p") >= share)
-        reached = runs.join(good, "pattern").select("run").distinct()
-        words = run_words.join(reached, "run").select("word", F.lit(0.9).alias("s")).distinct()
+        in_good = runs.join(good, "pattern")
+        # A word right before many whole names leads in to them and is none itself (as in "Ask ..."); before single family names it is a given name.
+        left = F.element_at(F.split(F.element_at(F.split("pattern", r"\|"), 2), " "), -1)
+        leads = in_good.select("pattern", "run", F.size("words").alias("k")).distinct().groupBy("pattern").agg(F.avg("k").alias("k"), F.count("*").alias("n")).where("k >= 1.5 and n >= 3").select(left.alias("word")).distinct().join(seeds, "word", "left_anti")
+        words = run_words.join(in_good.select("run").distinct(), "run").select("word", F.lit(0.9).alias("s")).distinct().join(leads, "word", "left_anti")
         lexicon = cut(words.join(seeds, "word", "left_anti").union(seeds.select("word", F.lit(1.0).alias("s"))), "lexicon")
 
     # Numbers: seeds rate patterns, and patterns those numbers that no seed tells.
@@ -264,7 +267,8 @@ def find_personal(turns: DataFrame, known: DataFrame, rounds: int = ROUNDS, shar
 
     # Name runs: the longest one whose words are all learned, two words or more, or any in a good pattern.
     keyed = names.withColumn("id", F.struct("msg_id", "start", "stop"))
-    scored = keyed.select("id", F.explode(F.array_distinct("words")).alias("word")).join(common.withColumn("c", F.lit(1)), "word", "left").join(lexicon, "word", "left")
+    never = cut(common.union(leads).distinct(), "never")
+    scored = keyed.select("id", F.explode(F.array_distinct("words")).alias("word")).join(never.withColumn("c", F.lit(1)), "word", "left").join(lexicon, "word", "left")
     scored = scored.groupBy("id").agg(F.min(F.when(F.col("c").isNotNull(), -1.0).otherwise(F.coalesce("s", F.lit(0.0)))).alias("w"))
     placed = keyed.select("id", F.explode("patterns").alias("pattern")).join(rated.where(F.col("p") >= share), "pattern").groupBy("id").agg(F.max("p").alias("p"))
     judged = keyed.join(scored, "id").join(placed, "id", "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
