@@ -18,12 +18,19 @@ _FOLDERS: set[str] = set()
 def ship(spark: SparkSession) -> SparkSession:
     """Gives the session's Python workers this package, once an application.
 
-    The archive is served by the driver like any py-file, so that a cluster needs no install.
+    The archive lies in the shared folder where that is a path, and is served by the driver like any
+    py-file, so that a cluster needs no install.
     """
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parent.parent
-        handle, name = tempfile.mkstemp(prefix="millrace-", suffix=".zip")
+        folder = shared_dir(spark).removeprefix("file://")
+        if folder.startswith("/"):
+            folder = _tables(spark).removeprefix("file://")
+            os.makedirs(folder, exist_ok=True)
+        else:
+            folder = None
+        handle, name = tempfile.mkstemp(prefix="millrace-", suffix=".zip", dir=folder)
         os.close(handle)
         with zipfile.ZipFile(name, "w") as z:
             for p in sorted(root.rglob("*.py")):
