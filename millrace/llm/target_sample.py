@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.plans.ranges import prefix_sums
-from millrace.plans.runtime import cut
+from millrace.plans.runtime import cut, width
 
 FIELDS = ("shot_type", "face_angles")
 #: Words that tell a category, tried in order.
@@ -36,28 +37,31 @@ def _rake(cells: pd.DataFrame, goals: pd.DataFrame) -> pd.DataFrame:
 
     cells: at most (categories + 1) ** fields rows with n; goals: the data set's targets.
     """
-    fields = [f for f in FIELDS if (goals.field_name == f).any()]
     n = cells.n.to_numpy(dtype="float64")
+    of = {f: cells[f].to_numpy() for f in FIELDS}
+    share, least, at = {}, {}, {}
+    for f, cat, pct, low in zip(goals.field_name, goals.category, goals.target_pct, goals.min_rows):
+        share.setdefault(f, {})[cat] = pct / 100
+        least[f, cat] = int(low)
+        at[f, cat] = of[f] == cat
+    fields = [f for f in FIELDS if f in share]
     draw = int(goals.draw_rows.max())
-    share = {f: {r.category: r.target_pct / 100 for r in goals[goals.field_name == f].itertuples()} for f in fields}
-    least = {(r.field_name, r.category): int(r.min_rows) for r in goals.itertuples()}
     w = n.copy()
     for f in fields:
-        w[~cells[f].isin(share[f])] *= 1e-6  # images outside the categories only fill up
+        w[~np.isin(of[f].astype(str), [str(c) for c in share[f]])] *= 1e-6  # images outside the categories only fill up
     for _ in range(200):
         moved = 0.0
         for f in fields:
             total = w.sum()
             for cat, s in share[f].items():
-                at = (cells[f] == cat).to_numpy()
-                have = w[at].sum()
+                have = w[at[f, cat]].sum()
                 if have > 0 and total > 0:
                     k = s * total / have
                     moved = max(moved, abs(k - 1))
-                    w[at] *= k
+                    w[at[f, cat]] *= k
         if moved < 1e-9:
             break
-    quota = pd.Series(0, index=cells.index).to_numpy()
+    quota = np.zeros(len(n), dtype="int64")
     want = min(draw, int(n.sum()))
     while quota.sum() < want:  # each pass fills cells or ends
         room = n - quota
@@ -65,29 +69,29 @@ def _rake(cells: pd.DataFrame, goals: pd.DataFrame) -> pd.DataFrame:
         if not live.any():
             live = room > 0
         ww = w * live if (w * live).sum() > 0 else live.astype(float)
-        ideal = ww / ww.sum() * (want - quota.sum())
-        step = pd.Series(ideal).clip(upper=room).to_numpy()
-        whole = step.astype(int)
+        step = np.minimum(ww / ww.sum() * (want - quota.sum()), room)
+        whole = step.astype("int64")
         left = want - quota.sum() - whole.sum()
         if not whole.sum():
             for i in sorted(range(len(step)), key=lambda i: (-(step[i] - whole[i]), i))[:left]:
                 if live[i]:
                     whole[i] += 1
         quota = quota + whole
-    for (f, cat), m in least.items():
-        at = (cells[f] == cat).to_numpy()
-        while quota[at].sum() < m and (at & (quota < n)).any():
-            i = max((i for i in range(len(n)) if at[i] and quota[i] < n[i]), key=lambda i: (n[i] - quota[i], -i))
 
-            def spare(j: int) -> int:
-                slack = [quota[(cells[g] == cells[g][j]).to_numpy()].sum() - least.get((g, cells[g][j]), 0) for g in fields if cells[g][j] in share[g]]
-                return int(min([quota[j], *slack]))
+    def spare(j: int) -> int:
+        """How many of the cell could go without a category falling below its least."""
+        slack = [int(quota[at[g, of[g][j]]].sum()) - least[g, of[g][j]] for g in fields if (g, of[g][j]) in at]
+        return int(min([int(quota[j]), *slack]))
 
-            give = [j for j in range(len(n)) if not at[j] and quota[j] > 0]
+    for key, m in least.items():
+        mine = at[key]
+        while quota[mine].sum() < m and (mine & (quota < n)).any():
+            i = max((i for i in range(len(n)) if mine[i] and quota[i] < n[i]), key=lambda i: (n[i] - quota[i], -i))
             quota[i] += 1
+            give = [j for j in range(len(n)) if not mine[j] and quota[j] > 0]
             if quota.sum() > draw and give and spare(j := max(give, key=lambda j: (spare(j), -j))) > 0:
                 quota[j] -= 1
-    return cells.assign(weight=w / n, quota=quota.astype("int64"))
+    return cells.assign(weight=w / n, quota=quota)
 
 
 def draw_sample(images: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -106,9 +110,10 @@ def draw_sample(images: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[
     wanted = goals.select("dataset_id").distinct()
     now = cut(current_images(images.join(wanted, "dataset_id", "left_semi")), "images")
     cells = now.groupBy("dataset_id", *FIELDS).agg(F.count("*").alias("n"))
-    cells = cells.na.fill("", list(FIELDS))
+    parts = width(images.sparkSession)
+    cells = cells.na.fill("", list(FIELDS)).repartition(parts, "dataset_id")
     schema = "dataset_id string, shot_type string, face_angles string, n long, weight double, quota long"
-    raked = cut(cells.groupBy("dataset_id").cogroup(goals.groupBy("dataset_id")).applyInPandas(lambda c, g: _rake(c.sort_values(list(FIELDS), ignore_index=True), g.fillna({"target_pct": 0, "draw_rows": 0, "min_rows": 0})) if len(c) and len(g) else pd.DataFrame(columns=["dataset_id", "shot_type", "face_angles", "n", "weight", "quota"]).astype({"n": "int64", "weight": "float64", "quota": "int64"}), schema), "raked")
+    raked = cut(cells.groupBy("dataset_id").cogroup(goals.repartition(parts, "dataset_id").groupBy("dataset_id")).applyInPandas(lambda c, g: _rake(c.sort_values(list(FIELDS), ignore_index=True), g.fillna({"target_pct": 0, "draw_rows": 0, "min_rows": 0})) if len(c) and len(g) else pd.DataFrame(columns=["dataset_id", "shot_type", "face_angles", "n", "weight", "quota"]).astype({"n": "int64", "weight": "float64", "quota": "int64"}), schema), "raked")
 
     keyed = now.na.fill("", list(FIELDS)).join(raked.where("quota > 0").drop("n"), ["dataset_id", *FIELDS])
     u = (F.pmod(F.xxhash64(F.lit(seed), "dataset_id", "image_path"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
