@@ -84,12 +84,14 @@ def language(text: str, found: list[str] | None = None) -> str:
     return max(score, key=score.get)
 
 
+_STEMS = {name: k for k, names in NAMES.items() for name in names.split()}
+_ANY_STEM = "|".join(regex.escape(n) for n in sorted(_STEMS, key=len, reverse=True))
+_ASKS = regex.compile(rf"\b(?:in|into|auf|en|in das|ins|на|по)[ -](?P<a>{_ANY_STEM})|(?P<b>{_ANY_STEM})[でに]|по-(?P<c>{_ANY_STEM})")
+_VERBS = regex.compile(r"\b(?:answer|reply|respond|write|translate|say|antworte|antworten|schreib|übersetze|réponds|répondez|écris|écrivez|traduis|responde|contesta|escribe|traduce|rispondi|scrivi|traduci|ответь|напиши|переведи)\w*|答え|書い|訳し")
+
+
 def asked_language(prompt: str) -> str:
     """The language that a prompt asks to be answered in, '' where it asks for none."""
     low = prompt.lower()
-    for k, names in NAMES.items():
-        for name in names.split():
-            stem = regex.escape(name)
-            if regex.search(rf"\b(?:in|into|auf|en|in das|ins|на|по)[ -]{stem}|{stem}[でに]|по-{stem}", low) and regex.search(r"\b(?:answer|reply|respond|write|translate|say|antworte|antworten|schreib|übersetze|réponds|répondez|écris|écrivez|traduis|responde|contesta|escribe|traduce|rispondi|scrivi|traduci|ответь|напиши|переведи)\w*|答え|書い|訳し", low):
-                return k
-    return ""
+    found = _ASKS.search(low)
+    return _STEMS[next(g for g in found.groups() if g)] if found and _VERBS.search(low) else ""
