@@ -118,9 +118,9 @@ WHERE coalesce(h.n, 0) * 100 < greatest(t.target_pct * t.draw_rows, t.min_rows *
 
 
 _FACES = """
-WITH RECURSIVE last AS (SELECT * FROM face_cache WHERE image_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY image_path ORDER BY log_id DESC) = 1),
-faces AS (SELECT image_path, unnest(faces) AS f, unnest(range(0, len(faces))) AS at FROM last),
-vec AS (SELECT image_path || '#' || at AS k, list_transform(f.embedding, lambda x: x::DOUBLE) AS v FROM faces WHERE len(f.embedding) > 0 AND len(list_filter(f.embedding, lambda x: x <> 0)) > 0),
+WITH RECURSIVE newest AS (SELECT * FROM face_cache WHERE image_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY image_path ORDER BY log_id DESC) = 1),
+faces AS (SELECT image_path, unnest(faces) AS f, unnest(range(0, len(faces))) AS pos FROM newest),
+vec AS (SELECT image_path || '#' || pos AS k, list_transform(f.embedding, lambda x: x::DOUBLE) AS v FROM faces WHERE len(f.embedding) > 0 AND len(list_filter(f.embedding, lambda x: x <> 0)) > 0),
 near AS (SELECT a.k AS a, b.k AS b FROM vec a, vec b WHERE a.k <> b.k AND list_cosine_similarity(a.v, b.v) >= 0.6 - 1e-12),
 reach(a, b) AS (SELECT DISTINCT a, a FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
 cluster AS (SELECT a AS face_key, min(b) AS cluster_key, count(*) AS n FROM reach GROUP BY a)
