@@ -155,3 +155,8 @@ def pose_of(kp: str = "kp") -> dict[str, Column]:
     sure = F.filter(kp, lambda q: q["c"] > 0)
     confidence = F.when(absent | (F.size(sure) == 0), F.lit(0.0)).otherwise(F.aggregate(sure, F.lit(0.0), lambda s, q: s + q["c"]) / F.size(sure))
     return {"pose": pose, "orientation": orientation, "hands": hands, "confidence": confidence}
+
+
+def image_manifest(shots: DataFrame, described: DataFrame, key: str) -> DataFrame:
+    """Each image's shot with its concepts; images that aren't described have none."""
+    return shots.join(described.select(key, "pose", "setting", "lighting", "concepts", "clothing", "attributes"), key, "left")

@@ -54,6 +54,21 @@ def concepts(spark, d):
     return rows.select("doc_id", "pose", "setting", "lighting", F.array_join("concepts", "|").alias("concepts"), F.array_join("clothing", "|").alias("clothing"), F.array_join("attributes", "|").alias("attributes"))
 
 
+def image_manifest(spark, d):
+    shots = _shots(spark, d).select("img_id", images.shot_type("face_ratio").alias("shot"))
+    described = images.concepts(b.docs(spark, d).where("text is not null"), "text", TAXONOMY).withColumnRenamed("doc_id", "img_id")
+    return images.image_manifest(shots, described, "img_id").select("img_id", "shot", "pose", F.array_join("concepts", "|").alias("concepts"))
+
+
+def pixel_metrics(spark, d):
+    """Metrics of 16 x 16 images made of the vectors' components; no counterpart in SQL."""
+    from millrace.operators import pixels
+
+    made = F.unhex(F.array_join(F.transform(F.flatten(F.array_repeat("embedding", 4)), lambda x: F.lpad(F.hex(F.floor(F.abs(x.cast("double")) * 255 * 4).cast("int") % 256), 2, "0")), ""))
+    rows = table(spark, d, "embeddings").select("vec_id", made.alias("pixels"), F.lit(16).alias("width"), F.lit(16).alias("height"))
+    return pixels.pixel_metrics(rows, "vec_id").select("vec_id", F.round("blur_score", 3).alias("blur_score"), F.round("brightness", 6).alias("brightness"), "phash")
+
+
 def taxonomy_tags(spark, d):
     found = images.taxonomy_terms("text", TAXONOMY)
 
@@ -237,6 +252,7 @@ SQL = {
     "face_angles": f"WITH {v._IMAGES}, x AS (SELECT {_angle('(f.bbox[3] - f.bbox[1]) * (f.size[1] % 10 / 10.0::DOUBLE)', '(f.bbox[4] - f.bbox[2])')} AS angle FROM faces) SELECT angle, count(*) AS n FROM x GROUP BY angle",
     "visibility": f"WITH {v._IMAGES} SELECT image_path, coalesce(len(faces), 0) > 0 AS visible, round(coalesce(list_sum(list_transform(faces, lambda f: f.det_score)) / nullif(len(faces), 0), 0), 6) AS confidence FROM images",
     "concepts": _C + "SELECT doc_id, pose, setting, lighting, array_to_string(concepts, '|') AS concepts, array_to_string(clothing, '|') AS clothing, array_to_string(attributes, '|') AS attributes FROM concepts",
+    "image_manifest": _C.replace("WITH ", f"WITH {_S}, ", 1) + f"SELECT img_id, {_shot('face_ratio')} AS shot, pose, array_to_string(concepts, '|') AS concepts FROM shots LEFT JOIN concepts ON doc_id = img_id",
     "taxonomy_tags": f"WITH {b.DOCS}, t(category, term) AS (VALUES {', '.join(f'({k!r}, {t!r})' for k, ts in _OWN.items() for t in ts)}) SELECT doc_id, category, term FROM docs, t WHERE contains(lower(text), term)",
     "concept_topk": _C + "SELECT concept, n, round(n / (SELECT count(*) FROM concepts), 6) AS frequency FROM (SELECT unnest(concepts) AS concept, count(*) AS n FROM concepts GROUP BY 1 ORDER BY n DESC, concept LIMIT 20)",
     "pose_types": f"WITH {_POSE} SELECT vec_id, pose, orientation, hands, round(confidence, 6) AS confidence FROM poses",
@@ -254,4 +270,4 @@ SQL = {
     "resume_iteration": f"WITH {_DAILY} SELECT count(*) + 1 AS next_iteration FROM daily",
     "merge_approved": "SELECT origin, count(*) AS n, min(file) AS first FROM (SELECT s_name AS file, 'real' AS origin FROM supplier UNION ALL SELECT 'synthetic_' || p_name || CASE p_size % 3 WHEN 0 THEN '.PNG' ELSE '.jpg' END, 'synthetic' FROM part WHERE p_size % 3 < 2) GROUP BY origin",
 }
-QUERIES = {k: globals()[k] for k in SQL} | {"generation_plan": generation_plan}
+QUERIES = {k: globals()[k] for k in SQL} | {"generation_plan": generation_plan, "pixel_metrics": pixel_metrics}

@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.operators import chat, dedup, gaps, images, profile, quality, scan, splits, traits, vectors
+from millrace.operators import chat, dedup, gaps, images, pixels, profile, quality, scan, splits, traits, vectors
 
 TURNS = "conv_id string, turn int, msg_id long, role string, text string"
 
@@ -196,3 +196,18 @@ def test_pickles_are_read_not_loaded(spark):
     data = [("a", pickle.dumps([1])), ("b", b"cos\nsystem\n(S'x'\ntR."), ("c", b"\x80\x04bad"), ("d", None), ("e", pickle.dumps(pytest.approx, protocol=4))]
     got = {r.path: r.risk for r in scan.pickle_scan(spark.createDataFrame(data, "path string, content binary")).collect()}
     assert got == {"a": "safe", "b": "dangerous", "c": "damaged", "d": "damaged", "e": "suspicious"}
+
+
+def test_pixels(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    noise = r.integers(0, 256, (40, 30), dtype=np.uint8)
+    smooth = np.tile(np.linspace(0, 255, 30).astype(np.uint8), (40, 1))
+    brute = [4 * -int(noise[y, x]) + sum(int(noise[y + a, x + b]) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))) for y in range(1, 39) for x in range(1, 29)]
+    assert abs(pixels.laplacian_variance(noise) - np.var(brute)) < 1e-6
+    data = [(1, noise.tobytes(), 30, 40), (2, smooth.tobytes(), 30, 40), (3, (noise // 2).tobytes(), 30, 40), (4, None, 1, 1), (5, b"x", 9, 9), (6, b"ab", 2, 1)]
+    out = {x.id: x for x in pixels.pixel_metrics(spark.createDataFrame(data, "id long, pixels binary, width int, height int"), "id").collect()}
+    assert out[1].blur_score > 1000 > out[2].blur_score and out[4].phash is None and out[5].blur_score is None and out[6].blur_score == 0
+    differ = lambda a, b: bin((out[a].phash ^ out[b].phash) & (2**64 - 1)).count("1")
+    assert differ(1, 3) <= 5 < differ(1, 2)
