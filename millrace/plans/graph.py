@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.runtime import cut
-
-
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+from millrace.plans.runtime import cut_counted
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,16 +29,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     edges: pairs of one orderable type, in any direction, repeats and loops allowed.
     Large-star and small-star rounds halve the depth of every tree, so the rounds grow with
-    the logarithm of the diameter. Every round is cut to a table in the shared folder; only
-    two numbers a round come to the driver. A hub is one pre-aggregated row on the minimum
+    the logarithm of the diameter. Every round is cut to a table in the shared folder, whose
+    row count and hash, taken while it is written, tell when nothing moves any more. A hub is one pre-aggregated row on the minimum
     side of the join and its edges may be split by the skew join. Empty input gives no rows.
     """
     now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
-    now = cut(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    seen = _fingerprint(now)
+    now, seen = cut_counted(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now)), "cc")
-        mark = _fingerprint(now)
+        now, mark = cut_counted(_small_star(_large_star(now)), "cc")
         if mark == seen:
             break
         seen = mark
