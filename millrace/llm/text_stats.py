@@ -221,52 +221,82 @@ def fit_prose(measured: DataFrame, min_rows: int = 200, rounds: int = 2) -> dict
             spread = np.maximum((q[:, 2] - q[:, 0]) / 1.35, 0.02)
             centre[r["group"]] = (q[:, 1], np.diag(1 / spread**2))
     for _ in range(rounds):
-        near = with_distance(prose, centre).select("lang", "stats", "d2")
-        sums = near.withColumn("group", F.explode(F.array_distinct(F.array("lang", F.lit(""))))).where(F.col("d2") <= 3 * k)
-        aggs = [F.count("*").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(k)], *[F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)]]
-        for r in sums.groupBy("group").agg(*aggs).collect():
-            if r["group"] in centre and r.n >= min(min_rows, 30):
-                mean = np.array([r[f"s{i}"] for i in range(k)]) / r.n
-                cov = np.zeros((k, k))
-                for i in range(k):
-                    for j in range(i, k):
-                        cov[i, j] = cov[j, i] = r[f"p{i}_{j}"] / r.n - mean[i] * mean[j]
-                centre[r["group"]] = (mean, np.linalg.inv(cov + np.diag(np.full(k, 0.02**2))))
+        sums = prose.select("lang", "stats").mapInArrow(_moments(centre, 3.0 * k), "group string, n long, sums array<double>")
+        tall = sums.select("group", "n", F.posexplode("sums").alias("at", "x")).groupBy("group", "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+        found: dict[str, tuple[int, np.ndarray]] = {}
+        for r in tall.collect():
+            found.setdefault(r["group"], (r.n, np.zeros(k + k * k)))[1][r["at"]] = r.x
+        for g, (n, x) in found.items():
+            if g in centre and n >= min(min_rows, 30):
+                mean = x[:k] / n
+                cov = x[k:].reshape(k, k) / n - np.outer(mean, mean)
+                centre[g] = (mean, np.linalg.inv(cov + np.diag(np.full(k, 0.02**2))))
     return centre
 
 
-def with_distance(measured: DataFrame, centre: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """measured, with d2, the squared Mahalanobis distance from its language's prose, and parts, each statistic's part of it."""
-    fields = measured.schema.fields
-    schema = T.StructType([*fields, T.StructField("d2", T.DoubleType()), T.StructField("parts", T.ArrayType(T.DoubleType()))])
+def _distances(b: pa.RecordBatch, centre: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The statistics of a batch, each one's part of the squared distance from its language's prose, and the group taken for it."""
+    x = np.asarray(b.column(b.schema.get_field_index("stats")).flatten(), dtype=float).reshape(b.num_rows, -1)
+    codes = b.column(b.schema.get_field_index("lang")).dictionary_encode()
+    names = [g if g in centre else "" for g in codes.dictionary.to_pylist()]
+    langs = np.array(names, dtype=object)[codes.indices.to_numpy(zero_copy_only=False)]
+    parts = np.zeros_like(x)
+    for g in set(names):
+        at = langs == g
+        z = x[at] - centre[g][0]
+        parts[at] = z * (z @ centre[g][1])
+    return x, parts, langs
+
+
+def _moments(centre: dict, most: float):
+    """Number, sums and sums of products of the near texts by group, and of all groups together: a row each for a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, list] = {}
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.asarray(b.column(b.schema.get_field_index("stats")).flatten(), dtype=float).reshape(b.num_rows, -1)
-            parts = np.zeros_like(x)
-            langs = np.array([g if g in centre else "" for g in b.column(b.schema.get_field_index("lang")).to_pylist()])
-            for g in set(langs):
-                at = langs == g
-                z = x[at] - centre[g][0]
-                parts[at] = z * (z @ centre[g][1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts.sum(1)), _lists(parts)], names=[f.name for f in schema.fields])
+            x, parts, langs = _distances(b, centre)
+            near = parts.sum(1) <= most
+            for g in {*langs, ""}:
+                y = x[near] if g == "" else x[near & (langs == g)]
+                t = total.setdefault(g, [0, np.zeros(x.shape[1] * (x.shape[1] + 1))])
+                t[0] += len(y)
+                t[1] += np.concatenate([y.sum(0), (y.T @ y).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.string()), pa.array([t[0] for t in total.values()], type=pa.int64()), pa.array([t[1] for t in total.values()], type=pa.list_(pa.float64()))], names=["group", "n", "sums"])
+
+    return run
+
+
+def with_distance(measured: DataFrame, centre: dict[str, tuple[np.ndarray, np.ndarray]], explain: bool = True) -> DataFrame:
+    """measured, with d2, the squared Mahalanobis distance from its language's prose, and parts, each statistic's part of it.
+
+    Without explain the statistics and their parts are left out.
+    """
+    kept = [f for f in measured.schema.fields if explain or f.name != "stats"]
+    schema = T.StructType([*kept, T.StructField("d2", T.DoubleType()), *([T.StructField("parts", T.ArrayType(T.DoubleType()))] if explain else [])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                _, parts, _ = _distances(b, centre)
+                cols = [b.column(b.schema.get_field_index(f.name)) for f in kept]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(parts.sum(1)), *([_lists(parts)] if explain else [])], names=[f.name for f in schema.fields])
 
     return measured.mapInArrow(run, schema)
 
 
-def text_quality(df: DataFrame, keys: list[str], text: str, far: float = FAR) -> DataFrame:
+def text_quality(df: DataFrame, keys: list[str], text: str, far: float = FAR, explain: bool = True) -> DataFrame:
     """text_statistics with d2 and parts of all texts and `shape`: list, table or junk where the text is an outlier of that kind.
 
     df: one row a text, keys unique. Null and blank texts are left out, texts under 40 characters have no
-    shape. Every text counts in the fit. An empty table gives an empty one.
+    shape. Without explain the statistics and parts are left out. Every text counts in the fit. An empty table gives an empty one.
     """
     measured = cut(text_statistics(df, keys, text), "stats")
     centre = fit_prose(measured)
     if not centre:
         centre = {"": (np.zeros(len(STATS)), np.eye(len(STATS)))}
-    return with_distance(measured, centre).withColumn("shape", F.when(F.col("d2") > far, F.col("hint")))
+    return with_distance(measured, centre, explain).withColumn("shape", F.when(F.col("d2") > far, F.col("hint")))
 
 
 def record_texts(pairs: DataFrame, conversation: DataFrame) -> DataFrame:
