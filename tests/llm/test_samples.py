@@ -92,3 +92,22 @@ def test_clusters_match_all_pairs(spark):
     assert sum(x.part_size for x in report) == len(got) and all(1 <= len(x.typical) <= 3 for x in report)
     none = S.valid_faces(df.limit(0))
     assert S.face_clusters(none, S.similar_groups(none.select("id", "vec"))[0]).count() == 0
+
+
+def test_every_candidate_is_verified(spark):
+    """1 and 3 are alike; both have a nearer sketch in a decoy."""
+    sketch = {1: 0, 2: 0, 3: 63, 4: 63}
+    signed = spark.createDataFrame([(i, [7], s, 0, 0, 0) for i, s in sketch.items()], "id long, keys array<long>, s0 long, s1 long, s2 long, s3 long")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.5, 0.0, 0.87]), (3, [0.8, 0.6, 0.0]), (4, [0.0, 0.0, -1.0])], "id long, vec array<float>")
+    apart = spark.createDataFrame([(i, i) for i in sketch], "id long, component long")
+    assert [(x.src, x.dst) for x in S._between(vectors, apart, S._near_groups(signed, apart), 0.6).collect()] == [(1, 3)]
+
+
+def test_groups_meet_by_all_their_members(spark, monkeypatch):
+    """Of two groups only the last pair of members is alike, in blocks of two rows."""
+    monkeypatch.setattr(S, "BLOCK_ROWS", 2)
+    vecs = [(i, [1.0, 0.0, 0.01 * i]) for i in range(5)] + [(10 + i, [0.0, 1.0, 0.01 * i]) for i in range(3)] + [(5, [0.9, 0.5, 0.0]), (13, [0.5, 0.9, 0.0])]
+    vectors = spark.createDataFrame(vecs, "id long, vec array<float>")
+    parts = spark.createDataFrame([(i, 0 if i < 10 else 10) for i, _ in vecs], "id long, component long")
+    links = S._between(vectors, parts, spark.createDataFrame([(0, 10)], "src long, dst long"), 0.8)
+    assert {(x.src, x.dst) for x in links.collect()} == {(13, 5)}
