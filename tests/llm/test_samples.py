@@ -111,3 +111,16 @@ def test_groups_meet_by_all_their_members(spark, monkeypatch):
     parts = spark.createDataFrame([(i, 0 if i < 10 else 10) for i, _ in vecs], "id long, component long")
     links = S._between(vectors, parts, spark.createDataFrame([(0, 10)], "src long, dst long"), 0.8)
     assert {(x.src, x.dst) for x in links.collect()} == {(13, 5)}
+
+
+def test_medoids_by_all_alike_and_for_every_member(spark):
+    """A chain of twelve needs four medoids at least; a hub with the greatest id is the medoid though all links hang on the least one."""
+    e = np.eye(20)
+    vecs = [e[i] + e[i + 1] + e[i + 2] for i in range(12)] + [0.7 * e[19] + 0.714 * e[i] for i in range(4)] + [e[19]]
+    faces = spark.createDataFrame([(i, f"f{i:02d}", [float(x) for x in v]) for i, v in enumerate(vecs)], "id long, face_key string, vec array<float>")
+    parts = spark.createDataFrame([(i, 0 if i < 12 else 12) for i in range(17)], "id long, component long")
+    links = spark.createDataFrame([(12, i, 0.7) for i in range(13, 17)], "src long, dst long, cosine double")
+    got = S.cluster_report(faces, parts, links).collect()
+    chain = [x for x in got if x.cluster_key == "f00"]
+    assert len(chain) >= 4 and max(x.part_size for x in chain) <= 3 and sum(x.part_size for x in chain) == 12
+    assert [x.medoid for x in got if x.cluster_key == "f12"] == ["f16"]
