@@ -2,8 +2,8 @@
 
 Two layers. `flatten_list` turns a list column of a DataFrame into a child table straight from
 the Arrow offsets. `flatten_exports` does the same for chat exports and gap reports kept as JSON
-text: a C parser reads the text, one walk writes list offsets and child columns, and from there on
-refs and keys are made for whole columns by parent indices and vectorised take.
+text: a C parser reads the text, its records become one nested Arrow array, and all levels are emitted from that
+array's list offsets: child arrays by flattening, parents by parent indices, keys and refs by vectorised take.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 CONVERSATION_KEYS = ("chat_messages", "mapping")
 IMAGE_KEY = "per_image"
 DETECTORS = ("face", "eyes", "hands")
+_OWN_KEYS = (*CONVERSATION_KEYS, IMAGE_KEY)
 
 LINKS = T.StructType(
     [
@@ -79,97 +80,97 @@ def _refuse(name: str):
     raise ValueError(name)
 
 
+_BLANK = "\ufeff \t\r\n\f\v\xa0\u3000"
+
+
+def _loaded(text: str):
+    """The JSON value of the text as a list of one, an empty list where it is not one complete JSON value."""
+    try:
+        return [json.loads(text, parse_constant=_refuse)]
+    except (ValueError, RecursionError):
+        return []
+
+
 def parse_payload(text: str | None):
-    """The JSON value of the text, None where it is not one complete JSON value.
+    """The JSON value of the text, a list of values where it is JSON line by line, None where it is neither, complete.
 
-    A byte order mark and blank space before it are passed over. Line-by-line JSON and numbers
-    that JSON does not know (NaN) are not complete.
+    A byte order mark and blank space before it and blank lines are passed over. A text with one damaged line
+    is damaged. Numbers that JSON does not know (NaN) are not complete.
     """
     if not text:
         return None
-    try:
-        return json.loads(text.lstrip("﻿ \t\r\n\f\v\xa0　"), parse_constant=_refuse)
-    except (ValueError, RecursionError):
-        return None
+    text = text.lstrip(_BLANK)
+    if whole := _loaded(text):
+        return whole[0]
+    out = []
+    for line in text.split("\n"):
+        if line.strip(_BLANK):
+            if not (one := _loaded(line.lstrip(_BLANK))):
+                return None
+            out += one
+    return out or None
 
 
 def find_records(root) -> list[dict]:
-    """The records anywhere in the value, in document order; JSON kept in a string is opened, records aren't."""
+    """The records anywhere in the value, in document order; JSON kept in a string is opened. Of a record the values beside its own lists are looked through."""
     found, todo = [], [root]
     while todo:
         x = todo.pop()
         if isinstance(x, dict):
             if IMAGE_KEY in x or any(k in x for k in CONVERSATION_KEYS):
                 found.append(x)
+                todo.extend(v for k, v in reversed(x.items()) if k not in _OWN_KEYS and isinstance(v, (dict, list)))
             else:
                 todo.extend(reversed(x.values()))
         elif isinstance(x, list):
             todo.extend(reversed(x))
-        elif isinstance(x, str) and x.lstrip("﻿ \t\r\n")[:1] in ("{", "[", '"'):
+        elif isinstance(x, str) and x.lstrip(_BLANK)[:1] in ("{", "[", '"'):
             if (inner := parse_payload(x)) is not None:
                 todo.append(inner)
     return found
 
 
-class _Level:
-    """Columns of one level with the offsets of its lists in the level above."""
-
-    def __init__(self, *columns: str):
-        self.offsets, self.cols = [0], {c: [] for c in columns}
-
-    def add(self, **values) -> None:
-        for k, v in values.items():
-            self.cols[k].append(v)
-
-    def close(self) -> None:
-        self.offsets.append(len(next(iter(self.cols.values()))))
-
-    def parents(self) -> tuple[pa.Array, np.ndarray]:
-        """For each row its parent's index, and its position within the parent."""
-        off = np.asarray(self.offsets, dtype="int64")
-        up = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        return pa.array(up), (np.arange(off[-1]) - off[:-1][up]).astype("int32") if len(up) else np.array([], dtype="int32")
-
-    def column(self, name: str, kind: pa.DataType = pa.string()) -> pa.Array:
-        return pa.array(self.cols[name], type=kind)
-
-
-def _parts(message: dict):
-    body = message.get("text")
-    if body is None and isinstance(content := message.get("content"), dict):
-        body = content.get("parts")
-    return body if isinstance(body, list) else [body]
-
-
-def _walk(payloads: list[str | None]) -> dict[str, _Level]:
-    lv = {"conversation": _Level("ref", "at", "kind", "value"), "message": _Level("ref", "at", "value"), "part": _Level("at", "kind", "value"), "image": _Level("ref"), "detector": _Level("name", "value")}
-    for text in payloads:
-        for at, rec in enumerate(find_records(parse_payload(text))):
-            if any(k in rec for k in CONVERSATION_KEYS):
-                lv["conversation"].add(ref=_text(rec.get("uuid")) or _text(rec.get("id")), at=at, kind="chat_messages" if "chat_messages" in rec else "mapping", value=_text(rec.get("name")) or _text(rec.get("title")))
-                listed = rec.get("chat_messages")
-                nodes = rec.get("mapping")
-                entries = [(m, None, i) for i, m in enumerate(listed if isinstance(listed, list) else [])]
-                entries += [(n.get("message"), k, i) for i, (k, n) in enumerate(nodes.items() if isinstance(nodes, dict) else ()) if isinstance(n, dict) and n.get("message") is not None]
-                for m, key, i in entries:
-                    d = m if isinstance(m, dict) else {}
-                    author = d.get("author")
-                    lv["message"].add(ref=_text(key) or _text(d.get("uuid")), at=i, value=_text(d.get("sender")) or (_text(author.get("role")) if isinstance(author, dict) else None))
-                    for j, p in enumerate(_parts(d)):
-                        if p is not None and p != "" and p != {} and p != []:
-                            lv["part"].add(at=j, kind="text" if isinstance(p, str) else "json", value=_value(p))
-                    lv["part"].close()
-                lv["message"].close()
-            images = rec.get(IMAGE_KEY)
-            for name, found in (images.items() if isinstance(images, dict) else ()):
-                lv["image"].add(ref=_value(name))
-                for d in DETECTORS:
-                    if isinstance(found, dict) and found.get(d) is not None:
-                        lv["detector"].add(name=d, value=_value(found[d]))
-                lv["detector"].close()
-        lv["conversation"].close()
-        lv["image"].close()
-    return lv
+_TEXT = pa.string()
+_PART = pa.struct([("at", pa.int32()), ("kind", _TEXT), ("value", _TEXT)])
+_MESSAGE = pa.struct([("ref", _TEXT), ("at", pa.int32()), ("value", _TEXT), ("parts", pa.list_(_PART))])
+_IMAGE = pa.struct([("ref", _TEXT), ("detectors", pa.list_(pa.struct([("name", _TEXT), ("value", _TEXT)])))])
+_RECORD = pa.struct([("at", pa.int32()), ("ref", _TEXT), ("kind", _TEXT), ("value", _TEXT), ("messages", pa.list_(_MESSAGE)), ("images", pa.list_(_IMAGE))])
+
+
+def _parts(message: dict) -> list[tuple]:
+    content = message.get("content")
+    out = []
+    for body in (message.get("text"), content.get("parts") if isinstance(content, dict) else None):
+        out += [(j, "text" if isinstance(p, str) else "json", _value(p)) for j, p in enumerate(body if isinstance(body, list) else [body]) if p is not None and p != "" and p != {} and p != []]
+    return out
+
+
+def _message(m, key, at: int) -> tuple:
+    d = m if isinstance(m, dict) else {}
+    author = d.get("author")
+    return _text(key) or _text(d.get("uuid")), at, _text(d.get("sender")) or (_text(author.get("role")) if isinstance(author, dict) else None), _parts(d)
+
+
+def _record(at: int, rec: dict) -> tuple:
+    """A record in the one shape of _RECORD, whatever the types of its values; kind is null for a gap report."""
+    kind = next((k for k in CONVERSATION_KEYS if k in rec), None)
+    messages = []
+    if isinstance(listed := rec.get("chat_messages"), list):
+        messages += [_message(m, None, i) for i, m in enumerate(listed)]
+    if isinstance(nodes := rec.get("mapping"), dict):
+        messages += [_message(n["message"], k, i) for i, (k, n) in enumerate(nodes.items()) if isinstance(n, dict) and n.get("message") is not None]
+    images = []
+    if isinstance(shots := rec.get(IMAGE_KEY), dict):
+        images = [(_value(name), [(d, _value(f[d])) for d in DETECTORS if isinstance(f, dict) and f.get(d) is not None]) for name, f in shots.items()]
+    return at, _text(rec.get("uuid")) or _text(rec.get("id")), kind, _text(rec.get("name")) or _text(rec.get("title")), messages, images
+
+
+def _children(lists: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The elements of a list array, each one's parent's index and its position within the parent."""
+    sizes = np.asarray(pc.list_value_length(lists))
+    starts = np.cumsum(sizes) - sizes
+    at = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
+    return lists.flatten(), pc.list_parent_indices(lists), pa.array(at.astype("int32"))
 
 
 def _fallback(refs: pa.Array, *pieces) -> pa.Array:
@@ -181,34 +182,35 @@ def _emit(level: str, ids: pa.Array, parent: pa.Array, child: pa.Array, at: pa.A
 
 
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    none = lambda n: pa.nulls(n, _TEXT)
+    blank = lambda n: pa.repeat(pa.scalar("", _TEXT), n)
     for b in batches:
         ids = b.column(0).cast(pa.int64())
-        lv = _walk(b.column(1).to_pylist())
-        none = lambda n: pa.nulls(n, pa.string())
-        blank = lambda n: pa.array([""] * n, type=pa.string())
+        nested = pa.array([[_record(at, r) for at, r in enumerate(find_records(parse_payload(t)))] for t in b.column(1).to_pylist()], type=pa.list_(_RECORD))
+        rec, up, _ = _children(nested)
+        rec_ids = ids.take(up)
 
-        conv, (up, _) = lv["conversation"], lv["conversation"].parents()
-        at = conv.column("at", pa.int32())
-        conv_ids = ids.take(up)
-        conv_ref = _fallback(conv.column("ref"), "@", at.cast(pa.string()))
-        yield _emit("conversation", conv_ids, blank(len(at)), conv_ref, at, conv.column("kind"), conv.column("value"))
+        conv_at = pc.indices_nonzero(pc.is_valid(rec.field("kind")))
+        conv, conv_ids = rec.take(conv_at), rec_ids.take(conv_at)
+        at = conv.field("at")
+        conv_ref = _fallback(conv.field("ref"), "@", at.cast(_TEXT))
+        yield _emit("conversation", conv_ids, blank(len(at)), conv_ref, at, conv.field("kind"), conv.field("value"))
 
-        msg, (up, _) = lv["message"], lv["message"].parents()
-        at, above = msg.column("at", pa.int32()), conv_ref.take(up)
-        msg_ids = conv_ids.take(up)
-        msg_ref = _fallback(msg.column("ref"), above, "/@", at.cast(pa.string()))
-        yield _emit("message", msg_ids, above, msg_ref, at, none(len(at)), msg.column("value"))
+        msg, up, _ = _children(conv.field("messages"))
+        at, above, msg_ids = msg.field("at"), conv_ref.take(up), conv_ids.take(up)
+        msg_ref = _fallback(msg.field("ref"), above, "/@", at.cast(_TEXT))
+        yield _emit("message", msg_ids, above, msg_ref, at, none(len(at)), msg.field("value"))
 
-        part, (up, _) = lv["part"], lv["part"].parents()
-        at = part.column("at", pa.int32())
-        yield _emit("part", msg_ids.take(up), msg_ref.take(up), at.cast(pa.string()), at, part.column("kind"), part.column("value"))
+        part, up, _ = _children(msg.field("parts"))
+        at = part.field("at")
+        yield _emit("part", msg_ids.take(up), msg_ref.take(up), at.cast(_TEXT), at, part.field("kind"), part.field("value"))
 
-        img, (up, pos) = lv["image"], lv["image"].parents()
-        img_ids, img_ref = ids.take(up), img.column("ref")
-        yield _emit("image", img_ids, blank(len(pos)), img_ref, pa.array(pos), none(len(pos)), none(len(pos)))
+        img, up, pos = _children(rec.field("images"))
+        img_ids, img_ref = rec_ids.take(up), img.field("ref")
+        yield _emit("image", img_ids, blank(len(pos)), img_ref, pos, none(len(pos)), none(len(pos)))
 
-        det, (up, pos) = lv["detector"], lv["detector"].parents()
-        yield _emit("detector", img_ids.take(up), img_ref.take(up), det.column("name"), pa.array(pos), none(len(pos)), det.column("value"))
+        det, up, pos = _children(img.field("detectors"))
+        yield _emit("detector", img_ids.take(up), img_ref.take(up), det.field("name"), pos, none(len(pos)), det.field("value"))
 
 
 def flatten_exports(df: DataFrame, key: str = "export_id", payload: str = "payload") -> DataFrame:
@@ -216,7 +218,7 @@ def flatten_exports(df: DataFrame, key: str = "export_id", payload: str = "paylo
 
     Levels: conversation, message, part, image, detector. The value is the conversation's title, the
     message's role, the part's text (JSON for other parts) or the detector's result as JSON. A payload
-    that is null, empty, damaged or without a record gives nothing. Rows of a payload delivered twice
+    is one JSON value or JSON line by line; one that is null, empty, damaged or without a record gives nothing. Rows of a payload delivered twice
     come twice here; `export_links` makes them distinct. No shuffle.
     """
     return df.select(key, payload).mapInArrow(_flatten, LINKS)

@@ -33,10 +33,22 @@ def test_mapping_and_images(spark):
 def test_wrapped_damaged_and_empty(spark):
     wrapped = json.dumps(json.dumps({"data": [CHAT], "exported": True}))
     assert len(links(spark, "﻿ \n" + wrapped)) == 7
-    bad = [None, "", "null", "[]", "{}", json.dumps(CHAT)[:-3], json.dumps(CHAT) + "\n" + json.dumps(CHAT), "NaN", "[" * 100_000, '{"chat_messages": null}']
+    bad = [None, "", "null", "[]", "{}", json.dumps(CHAT)[:-3], json.dumps(CHAT) + "\n" + json.dumps(CHAT)[:-1], "NaN", "[" * 100_000, '{"chat_messages": null}']
     assert links(spark, *bad) == {(9, "conversation", "", "@0")}
 
 
+def test_line_by_line(spark):
+    lines = "﻿" + json.dumps(CHAT) + "\r\n\n" + json.dumps(MAP) + "\n" + json.dumps(GAP) + "\n"
+    got = links(spark, lines)
+    assert (0, "conversation", "", "c1") in got and (0, "conversation", "", "@1") in got and (0, "image", "", "/b.jpg") in got and len(got) == 7 + 8
+    assert links(spark, lines + "{") == set()
+
+
+def test_records_beside_a_record_and_both_fields(spark):
+    both = {"per_image": {"/a.jpg": {}}, "extra": {"chat_messages": [{"uuid": "m", "text": "", "content": {"parts": [None, "p"]}}]}}
+    assert links(spark, json.dumps(both)) == {(0, "image", "", "/a.jpg"), (0, "conversation", "", "@1"), (0, "message", "@1", "m"), (0, "part", "m", "1")}
+
+
 def test_repeats_and_an_empty_table(spark):
     df = spark.createDataFrame([(1, json.dumps(GAP), "x")] * 3, "export_id long, payload string, level_name string")
     assert export_links(df).count() == 4
