@@ -50,7 +50,7 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     texts = text_stats.record_texts(table(spark, d, "pairs"), table(spark, d, "conversation"))
-    return text_stats.text_quality(texts, ["src", "rec_id"], "text", explain=False).where("shape is not null").select("src", "rec_id", "shape")
+    return text_stats.text_quality(texts, ["src", "rec_id"], "text").where("shape is not null").select("src", "rec_id", "shape")
 
 
 def p5_stats(spark: SparkSession, d: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.language import language, words
-from millrace.llm.text_stats import measure, shape_of
+from millrace.llm.text_stats import layout, measure
 from millrace.plans.runtime import cut, once
 
 #: The levels' places on the scale.
@@ -39,7 +39,7 @@ def _word_counts(min_words: int, check: bool):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if sum(any(c.isalnum() for c in w) for w in t.split()) < min_words:
                     continue
-                if check and (language(t) != "en" or shape_of(*measure(t)) is not None):
+                if check and (language(t) != "en" or layout(measure(t)[1]) is not None):
                     continue
                 c = Counter(words(t))
                 ids.append(i)

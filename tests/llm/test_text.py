@@ -6,7 +6,7 @@ from conftest import rows
 
 from millrace.llm.personal_data import find_personal, propose, redact
 from millrace.llm.reading_level import reading_levels
-from millrace.llm.text_stats import STATS, measure, shape_of, text_quality
+from millrace.llm.text_stats import STATS, layout, measure, text_quality, vector
 
 PROSE = ["The share of labels fell after lunch, and nobody looked at the list.", "We sorted the notes yesterday and kept the warm ones.", "It helps to compare the clusters before the next run starts.", "Every caption names the pose, the setting and the light."]
 SHAPES = {
@@ -19,16 +19,16 @@ NOT_SHAPED = [" ".join(PROSE), "\n".join(PROSE), PROSE[0] + " " + PROSE[1] + "\n
 
 @pytest.mark.parametrize("kind", sorted(SHAPES))
 def test_shapes(kind):
-    assert [shape_of(*measure(t)) for t in SHAPES[kind]] == [kind] * len(SHAPES[kind])
+    assert [layout(measure(t)[1]) for t in SHAPES[kind]] == [kind] * len(SHAPES[kind])
 
 
 def test_prose_has_no_shape():
-    assert [shape_of(*measure(t)) for t in NOT_SHAPED] == [None] * len(NOT_SHAPED)
+    assert [layout(measure(t)[1]) for t in NOT_SHAPED] == [None] * len(NOT_SHAPED)
 
 
 def test_statistics_are_finite():
     for t in ("", " ", "x", "🙂", "a" * 100_000, "\x00\n\t", "|||", "日本"):
-        _, s, _ = measure(t)
+        s = vector(measure(t)[1])
         assert len(s) == len(STATS) and np.isfinite(s).all()
 
 
