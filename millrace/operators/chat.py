@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.functions.ladder import first_of
+from millrace.plans.ranges import placed
 
 #: Role spellings; phrases that lead to removal, assistants' stock phrases, whole answers of low quality.
 USER_ROLES, ASSISTANT_ROLES = ("user", "human"), ("assistant", "ai", "model", "bot")
@@ -29,8 +30,7 @@ def turns(conversation: DataFrame) -> DataFrame:
 
 def ordered(rows: DataFrame, conv: str = "conv_id", order: tuple = ("turn", "msg_id")) -> DataFrame:
     """With i, the 0-based place of the message in its conversation, and the next message's role and text."""
-    w = Window.partitionBy(conv).orderBy(*order)
-    return rows.withColumn("i", F.row_number().over(w) - 1).withColumn("next_role", F.lead("role").over(w)).withColumn("next_text", F.lead("text").over(w))
+    return placed(rows, [conv], list(order), "i", {"next_role": "role", "next_text": "text"})
 
 
 def positional_pairs(rows: DataFrame, conv: str = "conv_id", order: tuple = ("turn", "msg_id")) -> DataFrame:
@@ -86,7 +86,8 @@ def conversation_stats(rows: DataFrame) -> DataFrame:
 def preview(rows: DataFrame, conv: str = "conv_id", order: tuple = ("turn", "msg_id"), most: int = 10, width: int = 200) -> DataFrame:
     """The first messages of each conversation, texts cut at `width` characters."""
     text = F.when(F.length("text") > width, F.concat(F.substring("text", 1, width), F.lit("..."))).otherwise(F.col("text"))
-    return ordered(rows, conv, order).where(F.col("i") < most).select(conv, "i", "role", text.alias("text"))
+    i = F.row_number().over(Window.partitionBy(conv).orderBy(*order)) - 1  # limited before the shuffle, a hot conversation costs no more than others
+    return rows.withColumn("i", i).where(F.col("i") < most).select(conv, "i", "role", text.alias("text"))
 
 
 def alpaca(instruction="instruction", response="response"):

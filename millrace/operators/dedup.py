@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.plans.ranges import placed
 from millrace.plans.runtime import cut
 
 
@@ -25,9 +26,8 @@ def face_quality(blur: str = "blur_score", score: str = "det_score", area: str =
 
 def exact_groups(df: DataFrame, key: str, digest: str, quality: str) -> DataFrame:
     """key, digest, group_size and rank within the rows of equal digest: best quality first, ties by key. Null digests are no group."""
-    w = Window.partitionBy(digest).orderBy(F.col(quality).desc(), key)
-    sizes = Window.partitionBy(digest)
-    return df.where(F.col(digest).isNotNull()).select(key, digest, F.count("*").over(sizes).alias("group_size"), F.row_number().over(w).alias("rank"))
+    rows = placed(df.where(F.col(digest).isNotNull()).select(key, digest, F.col(quality).alias("__q")), [digest], [F.col("__q").desc(), F.col(key)], "__i", total="group_size")
+    return rows.select(key, digest, "group_size", (F.col("__i") + 1).alias("rank"))
 
 
 def maximal_independent(nodes: DataFrame, edges: DataFrame, key: str, order: str, max_rounds: int = 100) -> DataFrame:

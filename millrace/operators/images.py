@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.functions.ladder import first_of
+from millrace.plans.ranges import placed
 
 #: Words of captions that tell pose, setting, light and attributes.
 POSES = {"standing": ["standing", "upright"], "sitting": ["sitting", "seated"], "lying": ["lying", "laying", "reclined"], "kneeling": ["kneeling"], "crouching": ["crouching", "squatting"], "leaning": ["leaning"]}
@@ -85,8 +86,7 @@ def distribution(df: DataFrame, c: str, domain: list[str], least: int = 3) -> Da
 
 def sequence_names(df: DataFrame, group: str, order: str, trigger, width: int = 4):
     """With name: trigger, group and the number within the group in order."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return df.withColumn("name", F.format_string(f"%s_%s_%0{width}d", trigger, F.col(group), n))
+    return placed(df, [group], [order], "__n").withColumn("name", F.format_string(f"%s_%s_%0{width}d", trigger, F.col(group), F.col("__n") + 1)).drop("__n")
 
 
 def trigger_word(c) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.plans.graph import connected_components
+from millrace.plans.ranges import placed
 from millrace.plans.runtime import cut
 
 #: Keeping the chance to miss a pair at the limit below one in ten thousand decides the number of bands; at most this many.
@@ -82,7 +83,7 @@ def density_clusters(df: DataFrame, key: str, c: str, eps: float, least: int = 2
     pairs = cut(near_pairs(df, key, c, eps), "pairs")
     parts = connected_components(pairs)
     sizes = parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    ranked = sizes.withColumn("label", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("component")) - 1)  # a row a cluster
+    ranked = placed(sizes, [], ["component"], "label")
     named = parts.join(ranked, "component").select(F.col("node").alias("id"), "label")
     return df.select(F.col(key).alias("id")).join(named, "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
 
@@ -96,9 +97,10 @@ def cluster_summary(labels: DataFrame, members: DataFrame, key: str, image: str,
 
 def cluster_preview(labels: DataFrame, samples: int = 3) -> DataFrame:
     """Each cluster's size and its first members, greatest clusters first."""
-    first = Window.partitionBy("label").orderBy("id")
-    rows = labels.where("label >= 0").withColumn("r", F.row_number().over(first))
-    return rows.groupBy("label").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= samples, F.col("id")))), ",").alias("samples")).orderBy(F.col("n").desc(), "label")
+    rows = labels.where("label >= 0")
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("id"))).where(F.col("r") <= samples)  # limited before the shuffle
+    named = first.groupBy("label").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("samples"))
+    return rows.groupBy("label").agg(F.count("*").alias("n")).join(named, "label").orderBy(F.col("n").desc(), "label")
 
 
 def cluster_stats(labels: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Running sums within groups by range partitions, without a task per group."""
+"""Running sums, places and next rows within groups by range partitions, without a task per group."""
 
 from __future__ import annotations
 
@@ -57,3 +57,39 @@ def prefix_sums(df: DataFrame, groups: list[str], order: list[str], size: str, o
     before = Window.partitionBy("__g").orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
     offsets = ends.select("__g", pid, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
     return kept.join(offsets, ["__g", pid]).withColumn(out, F.col(run) + F.col("__before")).select(*names, out)
+
+
+def placed(df: DataFrame, groups: list[str], order: list[str], place: str = "i", lead: dict[str, str] | None = None, total: str | None = None) -> DataFrame:
+    """df with `place`, the 0-based place of a row in its group by `order`; lead: {new: old}, the next row's old as new; total: the group's size.
+
+    As a window over each group would give, but no task sees a whole group: the rows are sorted over all groups at
+    once by range partitions, windows run within a partition's part of a group, and only what goes over the partitions' borders is
+    joined: each border cuts one group, so there are less than two such parts a partition, which are broadcast. `order`
+    holds column names or columns and should be unique within a group, nulls first. Null groups are a group; no groups are one group.
+    An empty table gives an empty one.
+    """
+    lead = lead or {}
+    n = max(2, partitions(df.sparkSession))
+    keys = [*groups, *order]
+    rows = cut(df.repartitionByRange(n, *keys).withColumn("__pid", F.spark_partition_id()), "placed")
+    own = Window.partitionBy("__pid", *groups)
+    local = own.orderBy(*order)
+    here = rows.withColumn("__i", F.row_number().over(local) - 1).withColumns({k: F.lead(c).over(local) for k, c in lead.items()})
+    here = here.withColumn("__last", F.lead(F.lit(True)).over(local).isNull())
+    if total:
+        here = here.withColumn(total, F.count(F.lit(1)).over(own))
+    first = F.min_by(F.struct(*lead.values()), F.struct(*order)) if lead else F.lit(None).cast("struct<x:int>")
+    parts = rows.groupBy("__pid", *groups).agg(F.count(F.lit(1)).alias("__n"), first.alias("__f"))  # a row a group, and one more a border
+    over = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
+    before = over.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"__before": F.coalesce(F.sum("__n").over(before), F.lit(0)), "__next": F.lead("__f").over(over.orderBy("__pid")), "__all": F.sum("__n").over(over)})
+    border = F.broadcast(parts.where("__all > __n").select(F.col("__pid").alias("__p"), *[F.col(g).alias(f"__g{k}") for k, g in enumerate(groups)], "__before", "__next", "__all"))
+    same = F.col("__pid") == F.col("__p")
+    for k, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{k}"))
+    out = here.join(border, same, "left")
+    made = {place: (F.col("__i") + F.coalesce("__before", F.lit(0))).cast("int")}
+    made |= {k: F.when(F.col("__last"), F.col("__next")[c]).otherwise(F.col(k)) for k, c in lead.items()}
+    if total:
+        made[total] = F.coalesce("__all", F.col(total))
+    return out.withColumns(made).select(*df.columns, place, *lead, *([total] if total else []))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text as tx
 from millrace.operators.nested import flatten_exports
+from millrace.plans.ranges import placed
 
 PAIR = T.StructType([T.StructField(n, T.StringType()) for n in ("instruction", "question", "response", "output", "conversation_id")])
 PROBE = T.StructType([T.StructField("model", T.StringType()), T.StructField("prompt", T.StringType()), T.StructField("question", T.StringType()), T.StructField("iteration", T.IntegerType()), T.StructField("response", T.StringType()), T.StructField("timestamp", T.StringType())])
@@ -97,8 +98,8 @@ def write_by_label(df: DataFrame, path: str, label: str) -> None:
 
 def numbered(df: DataFrame, trigger: str, order: str) -> DataFrame:
     """With export_name: the trigger in small letters and a four-digit number in order."""
-    n = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order))
-    return df.withColumn("export_name", F.format_string("%s_%04d", F.replace(F.lower(F.lit(trigger)), F.lit(" "), F.lit("_")), n))
+    name = F.format_string("%s_%04d", F.replace(F.lower(F.lit(trigger)), F.lit(" "), F.lit("_")), F.col("__n") + 1)
+    return placed(df, [], [order], "__n").withColumn("export_name", name).drop("__n")
 
 
 def manifest(df: DataFrame, group: str, *fields: str) -> DataFrame:

@@ -1,10 +1,11 @@
 import random
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from millrace.operators.dedup import maximal_independent
 from millrace.plans.graph import connected_components
-from millrace.plans.ranges import prefix_sums
+from millrace.plans.ranges import placed, prefix_sums
 from millrace.plans.runtime import cut, once, shared_dir
 
 
@@ -75,3 +76,28 @@ def test_cut_and_once(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, "b")], "k long, v string")
     assert rows(once(df, "k")) == [(1, "a"), (None, "b")]
     assert rows(cut(df)) == rows(df) and shared_dir(spark)
+
+
+def test_places_of_a_hot_group(spark):
+    r = random.Random(4)
+    data = [("hot" if r.random() < 0.5 else r.choice(["a", "b", None]), r.randrange(50), i, f"t{i}") for i in range(4000)]
+    df = spark.createDataFrame(data, "g string, o int, id long, i string")
+    got = placed(df, ["g"], ["o", "id"], "at", {"after": "i"}, total="n")
+    want = {}
+    for g in ("hot", "a", "b", None):
+        mine = sorted((x for x in data if x[0] == g), key=lambda x: x[1:3])
+        want |= {x[2]: (k, mine[k + 1][3] if k + 1 < len(mine) else None, len(mine)) for k, x in enumerate(mine)}
+    assert {x.id: (x.at, x.after, x.n) for x in got.collect()} == want and got.columns == ["g", "o", "id", "i", "at", "after", "n"]
+    assert [x.at for x in placed(df, [], ["o", "id"], "at").orderBy("o", "id").collect()] == list(range(4000))
+    assert placed(df.limit(0), ["g"], ["o"], "at", {"after": "i"}).count() == 0
+
+
+def test_no_task_holds_a_hot_group(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("g"), "id")
+        parts = df.repartitionByRange(16, "g", "id").groupBy(F.spark_partition_id().alias("p"), "g").count().where("g = 'hot'").collect()
+        assert placed(df, ["g"], ["id"], "at").where("g = 'hot'").agg(F.max("at")).first()[0] == 9_999
+        assert max(x["count"] for x in parts) < 20_000 / 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
