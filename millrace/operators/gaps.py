@@ -121,6 +121,22 @@ def merge_approved(real: DataFrame, approved: DataFrame, name: str = "file", pre
     return real.select(name, F.lit("real").alias("origin")).unionByName(kept)
 
 
-def resume_at(history: DataFrame) -> DataFrame:
-    """One row: the next iteration after those of the history."""
-    return history.agg((F.count("*") + 1).alias("next_iteration"))
+def resume_at(history: DataFrame, order: str | None = None, most: int = 10) -> DataFrame:
+    """One row: the next iteration after those of the history, and whether the loop goes on.
+
+    It does up to `most` iterations, unless one has converged already (`order`: the iteration's column, beside `converged`);
+    first_converged is the first such iteration, null where there is none.
+    """
+    first = F.min(F.when(F.col("converged"), F.col(order))) if order else F.lit(None).cast("long")
+    out = history.agg((F.count("*") + 1).alias("next_iteration"), first.alias("first_converged"))
+    return out.withColumn("goes_on", (F.col("next_iteration") <= most) & F.col("first_converged").isNull())
+
+
+def routed(validated: DataFrame) -> DataFrame:
+    """validated with `route`: approved or rejected; rows without measurements go nowhere (null)."""
+    return validated.withColumn("route", F.when(F.col("passed"), "approved").when(F.col("reason") != "missing", "rejected"))
+
+
+def write_routes(validated: DataFrame, path: str) -> None:
+    """A folder of the approved rows and one of the rejected ones."""
+    routed(validated).where("route is not null").write.mode("overwrite").partitionBy("route").parquet(path)

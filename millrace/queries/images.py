@@ -172,7 +172,11 @@ def cumulative_rate(spark, d):
 
 
 def resume_iteration(spark, d):
-    return gaps.resume_at(_daily(spark, d))
+    return gaps.resume_at(gaps.convergence(_daily(spark, d), "day", "metric"), "day", 365)
+
+
+def validation_routes(spark, d):
+    return gaps.routed(_validated(spark, d)).groupBy("route").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("avg_quality"))
 
 
 def merge_approved(spark, d):
@@ -267,7 +271,8 @@ SQL = {
     "target_check": f"WITH {_S}, t AS (SELECT img_id, lower(face_angles) AS a, ['front', 'profile', 'hands_visible', ''][(img_id % 4 + 1)::INT] AS t FROM shots) SELECT img_id, coalesce(t = '' OR CASE WHEN t = 'hands_visible' THEN img_id % 3 = 0 ELSE contains(a, t) OR contains(t, a) END, true) AS met FROM t",
     "convergence": f"WITH {_DAILY}, l AS (SELECT day, metric, lag(metric) OVER (ORDER BY day) AS p FROM daily) SELECT day, round(CASE WHEN p <> 0 THEN (metric - p) / p END, 6) AS improvement, coalesce(abs(CASE WHEN p <> 0 THEN (metric - p) / p END) < 0.05::DOUBLE, false) AS converged FROM l",
     "cumulative_rate": f"WITH {_DAILY} SELECT day, sum(made) OVER w::BIGINT AS total_made, sum(approved) OVER w::BIGINT AS total_approved, round(sum(approved) OVER w / sum(made) OVER w, 6) AS rate FROM daily WINDOW w AS (ORDER BY day)".replace("sum(made) OVER w::BIGINT", "(sum(made) OVER w)::BIGINT").replace("sum(approved) OVER w::BIGINT", "(sum(approved) OVER w)::BIGINT"),
-    "resume_iteration": f"WITH {_DAILY} SELECT count(*) + 1 AS next_iteration FROM daily",
+    "resume_iteration": f"WITH {_DAILY} SELECT n + 1 AS next_iteration, first_converged, n + 1 <= 365 AND first_converged IS NULL AS goes_on FROM (SELECT count(*) AS n, min(day) FILTER (abs((metric - p) / nullif(p, 0)) < 0.05::DOUBLE) AS first_converged FROM (SELECT *, lag(metric) OVER (ORDER BY day) AS p FROM daily))",
+    "validation_routes": f"WITH {_VALID} SELECT CASE WHEN reason IS NULL THEN 'approved' WHEN reason <> 'missing' THEN 'rejected' END AS route, count(*) AS n, round(avg(quality), 6) AS avg_quality FROM val GROUP BY 1",
     "merge_approved": "SELECT origin, count(*) AS n, min(file) AS first FROM (SELECT s_name AS file, 'real' AS origin FROM supplier UNION ALL SELECT 'synthetic_' || p_name || CASE p_size % 3 WHEN 0 THEN '.PNG' ELSE '.jpg' END, 'synthetic' FROM part WHERE p_size % 3 < 2) GROUP BY origin",
 }
 QUERIES = {k: globals()[k] for k in SQL} | {"generation_plan": generation_plan, "pixel_metrics": pixel_metrics}

@@ -127,8 +127,32 @@ def export_formats(spark, d):
     return table(spark, d, "raw_export").dropDuplicates(["export_id"]).groupBy(files.detect_format("payload").alias("format")).agg(F.count("*").alias("n"))
 
 
+def _exports(spark, d):
+    return table(spark, d, "raw_export").select("export_id", "file_name", "payload").dropDuplicates(["export_id"])
+
+
 def parsed_exports(spark, d):
-    return files.parse_exports(table(spark, d, "raw_export").dropDuplicates(["export_id"]), "export_id", "payload")
+    found = files.conversations(_exports(spark, d), "export_id", "payload", "file_name")
+    return files.conversation_messages(found, "export_id").select("export_id", "conv_id", "format", "turn", "role", "text")
+
+
+def parsed_conversations(spark, d):
+    found = files.conversations(_exports(spark, d), "export_id", "payload", "file_name")
+    return found.select("export_id", "conv_id", "name", "format", F.size("messages").alias("n_messages"))
+
+
+def gpt_messages(spark, d):
+    mapped = _exports(spark, d).where(F.array_contains(F.json_object_keys("payload"), "mapping") & (F.json_array_length(F.concat(F.lit("["), "payload", F.lit("]"))) == 1))
+    return files.conversation_messages(files.conversations(mapped, "export_id", "payload", kind="gpt"), "export_id").select("export_id", "conv_id", "turn", "role", "text")
+
+
+def generic_messages(spark, d):
+    """The generic exports of the conversation table, a file each, read as such."""
+    turns = table(spark, d, "conversation").where("conv_id = 'generic_conversation' and role is not null and content is not null").dropDuplicates(["msg_id"])
+    item = F.to_json(F.struct("role", "content", F.col("msg_id").cast("string").alias("id")))
+    payloads = turns.select("source_file", F.concat(F.lit("["), item, F.lit("]")).alias("payload"))
+    found = files.conversations(payloads, "source_file", "payload", "source_file")
+    return files.conversation_messages(found, "source_file").select("source_file", "conv_id", "format", "role", "text", "message_id")
 
 
 def pickle_scan(spark, d):
@@ -198,4 +222,23 @@ SQL = {
     "streaming_latest": "SELECT user_id, event_id, event_type FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "pickle_scan": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'os.system' ELSE '' END AS imports, CASE p_partkey % 3 WHEN 0 THEN 'dangerous' WHEN 1 THEN 'safe' ELSE 'damaged' END AS risk FROM part",
 }
-QUERIES = {k: globals()[k] for k in SQL} | {"export_formats": export_formats, "parsed_exports": parsed_exports}
+_EXPORTS = """ex AS (SELECT DISTINCT ON (export_id) export_id, file_name, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM raw_export),
+f AS (SELECT *, CASE WHEN j IS NULL THEN 'unknown' WHEN json_type(j) = 'OBJECT' AND list_has_all(json_keys(j), ['uuid', 'chat_messages']) THEN 'claude' WHEN json_type(j) = 'OBJECT' AND list_has_all(json_keys(j), ['name', 'mapping']) THEN 'gpt'
+  WHEN json_type(j) = 'ARRAY' AND json_type(j, '$[0]') = 'OBJECT' AND list_has_all(json_keys(j, '$[0]'), ['role', 'content']) THEN 'generic' ELSE 'unknown' END AS format FROM ex)"""
+_CLAUDE_SQL = f"""cm AS (SELECT export_id, j, unnest(range(coalesce(json_array_length(j, '$.chat_messages'), 0)::BIGINT)) AS i FROM f WHERE format = 'claude'),
+claude AS (SELECT export_id, coalesce(j ->> 'uuid', 'unknown') AS conv_id, coalesce(j ->> 'name', 'Untitled') AS name, 'claude' AS format, i AS turn, json_extract(j, '$.chat_messages[' || i || ']') AS m FROM cm),
+claude_said AS (SELECT export_id, conv_id, name, format, turn, CASE WHEN m ->> 'sender' = 'human' THEN 'user' ELSE 'assistant' END AS role, {b.strip("CASE WHEN json_type(m, '$.text') = 'ARRAY' THEN array_to_string(list_filter(from_json(m -> 'text', '[\"VARCHAR\"]'), lambda x: x IS NOT NULL), chr(10)) ELSE coalesce(m ->> 'text', '') END")} AS text FROM claude)"""
+_GPT_SQL = f"""gk AS (SELECT export_id, j, unnest(json_keys(j, '$.mapping')) AS k, unnest(range(len(json_keys(j, '$.mapping')))) AS pos FROM mapped WHERE json_type(j, '$.mapping') = 'OBJECT'),
+gm AS (SELECT export_id, j, pos, json_extract(j, '$.mapping."' || k || '".message') AS m FROM gk),
+gp AS (SELECT export_id, j, pos, m, CASE WHEN json_type(m, '$.content.parts') = 'ARRAY' THEN list_filter(list_transform(from_json(m -> 'content' -> 'parts', '["JSON"]'), lambda p: CASE WHEN json_type(p) = 'VARCHAR' THEN p ->> '$' WHEN json_type(p) <> 'NULL' THEN p::VARCHAR END), lambda t: t IS NOT NULL AND t <> '') ELSE [] END AS parts FROM gm WHERE m IS NOT NULL AND json_type(m) <> 'NULL'),
+gt AS (SELECT *, {b.strip("array_to_string(parts, chr(10))")} AS text FROM gp),
+gpt_said AS (SELECT export_id, coalesce(j ->> 'id', 'unknown') AS conv_id, coalesce(j ->> 'title', 'Untitled') AS name, 'gpt' AS format, row_number() OVER (PARTITION BY export_id ORDER BY pos) - 1 AS turn, coalesce(m -> 'author' ->> 'role', 'unknown') AS role, text FROM gt WHERE text <> '')"""
+_SAID = f"WITH {_EXPORTS}, mapped AS (SELECT * FROM f WHERE format = 'gpt'), {_CLAUDE_SQL}, {_GPT_SQL}, said AS (SELECT * FROM claude_said UNION ALL SELECT * FROM gpt_said) "
+SQL |= {
+    "export_formats": f"WITH {_EXPORTS} SELECT format, count(*) AS n FROM f GROUP BY 1",
+    "parsed_exports": _SAID + "SELECT export_id, conv_id, format, turn, role, text FROM said",
+    "parsed_conversations": _SAID + "SELECT export_id, conv_id, name, format, count(*) AS n_messages FROM said GROUP BY ALL",
+    "gpt_messages": f"WITH {_EXPORTS}, mapped AS (SELECT * FROM f WHERE json_type(j) = 'OBJECT' AND list_contains(json_keys(j), 'mapping')), {_GPT_SQL} SELECT export_id, conv_id, turn, role, text FROM gpt_said",
+    "generic_messages": f"SELECT DISTINCT source_file, conv_id, 'generic' AS format, role, {b.strip('content')} AS text, msg_id::VARCHAR AS message_id FROM conversation WHERE conv_id = 'generic_conversation' AND role IS NOT NULL AND content IS NOT NULL",
+}
+QUERIES = {k: globals()[k] for k in SQL}

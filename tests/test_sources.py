@@ -52,14 +52,31 @@ def test_sinks(spark, tmp_path):
     assert files.numbered(df, "My Set", "text").orderBy("text").first().export_name == "my_set_0001"
 
 
+CHAT = {"uuid": "u", "name": "n", "chat_messages": [{"uuid": "m", "sender": "human", "text": ["a", "b"]}, {"uuid": "n", "sender": "bot", "text": " "}, {"text": None}]}
+MAPPED = {"name": "x", "title": "t", "id": "g", "create_time": 0, "mapping": {"z": {"message": {"author": {"role": "system"}, "content": {"parts": ["y", None, "", {"k": 1}]}}}, "a": {"message": None}, "b": {"message": {"author": {"role": "tool"}, "content": {"parts": [" "]}}}}}
+ITEMS = [{"role": "Human", "content": " x "}, {"role": "user"}, {"content": "y"}]
+
+
 def test_formats_and_parsers(spark):
-    chat = {"uuid": "u", "chat_messages": [{"uuid": "m", "sender": "human", "text": ["a", "b"]}, {"uuid": "n", "sender": "bot", "text": " "}]}
-    mapped = {"title": "t", "mapping": {"z": {"message": {"author": {"role": "assistant"}, "content": {"parts": ["y"]}}}, "a": {"message": None}}}
-    data = [json.dumps(chat), json.dumps([chat]), json.dumps(mapped), '[{"role": "user", "content": "x"}]', "{", None, "[]"]
-    df = spark.createDataFrame(list(enumerate(data)), "export_id long, payload string")
-    assert [r[1] for r in rows(df.select("export_id", files.detect_format("payload")))] == ["claude", "claude", "gpt", "generic", "unknown", "unknown", "unknown"]
-    assert rows(files.parse_exports(df.where("export_id in (0, 2)"), "export_id", "payload").select("export_id", "role", "text")) == [(0, "user", "a\nb"), (2, "assistant", "y")]
-    assert rows(files.parse_generic(df.where("export_id = 3"), "export_id", "payload").select("conv_id", "role", "text")) == [("generic_conversation", "user", "x")]
+    untitled = {"uuid": None, "chat_messages": [{"sender": "human", "text": "q"}]}
+    data = [json.dumps(CHAT), json.dumps([CHAT]), json.dumps(MAPPED), json.dumps(ITEMS), "{", None, "[]", json.dumps({"mapping": {}, "title": "t"}), json.dumps(CHAT) + "\n" + json.dumps(CHAT), json.dumps(untitled), json.dumps([{"x": 1}, *ITEMS]), '{"uuid": 1, "chat_messages": null}', ""]
+    df = spark.createDataFrame([(i, p, f"/in/f.{i}.json") for i, p in enumerate(data)], "export_id long, payload string, file string")
+    assert [r[1] for r in rows(df.select("export_id", files.detect_format("payload")))] == [r[1] for r in sorted(enumerate(["claude", "unknown", "gpt", "generic", "unknown", "unknown", "unknown", "unknown", "unknown", "claude", "unknown", "claude", "unknown"]), key=repr)]
+    found = files.conversations(df, "export_id", "payload", "file")
+    assert sorted((r.export_id, r.conv_id, r.name, r.format) for r in found.collect()) == [(0, "u", "n", "claude"), (2, "g", "t", "gpt"), (3, "generic_conversation", "f.3", "generic"), (9, "unknown", "Untitled", "claude"), (10, "generic_conversation", "f.10", "generic")]
+    said = sorted((r.export_id, r.turn, r.role, r.text, r.message_id) for r in files.conversation_messages(found, "export_id").collect())
+    assert said[:4] == [(0, 0, "user", "a\nb", "m"), (0, 1, "assistant", "", "n"), (0, 2, "assistant", "", ""), (2, 0, "system", 'y\n{"k":1}', "z")]
+    assert said[4:] == [(3, 0, "Human", "x", ""), (9, 0, "user", "q", ""), (10, 0, "Human", "x", "")]
+    listed = files.conversations(df.where("export_id = 1"), "export_id", "payload", kind="claude")
+    assert listed.count() == 1 and files.conversations(df.limit(0), "export_id", "payload").count() == 0
+
+
+def test_export_keeps_what_is_there(spark, tmp_path):
+    df = spark.createDataFrame([("/a/x.jpg", "p"), ("/b/x.jpg", "p"), ("/a/y.jpg", None)], "path string, label string")
+    to = str(tmp_path / "organized")
+    assert files.export_by_label(df, to, "label", "path") == 2 and files.export_by_label(df, to, "label", "path") == 0
+    assert files.export_by_label(df.union(spark.createDataFrame([("/a/z.jpg", "p")], df.schema)), to, "label", "path") == 1
+    assert spark.read.json(to).groupBy("label").count().orderBy("label").collect()[0][1] == 2
 
 
 def test_latest_and_unseen(spark):
