@@ -4,16 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
-
-from millrace.operators import nested
-from millrace.plans.runtime import spread, table
-
-MODULES = ("chat", "quality", "vectors", "images", "misc")
-
-
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.export_links(spread(table(spark, d, "raw_export").select("export_id", "payload")))
+MODULES = ("exports", "chat", "quality", "vectors", "images", "misc")
 
 
 def _modules():
@@ -21,7 +12,7 @@ def _modules():
 
 
 def queries() -> dict:
-    found = {"p6_found": p6_found}
+    found: dict = {}
     for m in _modules():
         found |= m.QUERIES
     return found

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.vectors import near_pairs
 from millrace.plans.ranges import placed
 from millrace.plans.runtime import cut
 
@@ -30,7 +33,7 @@ def exact_groups(df: DataFrame, key: str, digest: str, quality: str) -> DataFram
     return rows.select(key, digest, "group_size", (F.col("__i") + 1).alias("rank"))
 
 
-def maximal_independent(nodes: DataFrame, edges: DataFrame, key: str, order: str, max_rounds: int = 100) -> DataFrame:
+def maximal_independent(nodes: DataFrame, edges: DataFrame, key: str, order: str) -> DataFrame:
     """The keys that a greedy pass in `order` keeps: one is kept unless a kept one before it is its neighbour.
 
     nodes: key and order (unique, ascending); edges: src, dst in any direction. A node is decided as soon as
@@ -42,15 +45,13 @@ def maximal_independent(nodes: DataFrame, edges: DataFrame, key: str, order: str
     before = both.join(rank.select(F.col("k").alias("src"), F.col("o").alias("so")), "src").join(rank.select(F.col("k").alias("dst"), F.col("o").alias("do")), "dst").where("do < so").select("src", "dst").distinct()
     before = cut(before, "before")
     state = cut(rank.select("k", F.lit(None).cast("boolean").alias("kept")), "state")
-    for _ in range(max_rounds):
+    while True:
         seen = before.join(state.select(F.col("k").alias("dst"), F.col("kept").alias("dk")), "dst").groupBy("src").agg(F.max(F.coalesce(F.col("dk"), F.lit(False))).alias("hit"), F.count_if(F.col("dk").isNull()).alias("open"))
         now = state.join(seen.withColumnRenamed("src", "k"), "k", "left")
         decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
         state = cut(now.select("k", decided.alias("kept")), "state")
-        if state.where("kept is null").limit(1).count() == 0:
+        if state.where("kept is null").isEmpty():
             break
-    else:
-        raise RuntimeError("the greedy pass did not settle")
     return state.where("kept").select(F.col("k").alias(key))
 
 
@@ -60,6 +61,56 @@ def near_duplicates(rows: DataFrame, pairs: DataFrame, key: str, order: str) ->
     return rows.select(key).join(kept.withColumn("kept", F.lit(True)), key, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
+def hash_pairs(rows: DataFrame, key: str, c: str, most: int = 5, agree: int = 3) -> DataFrame:
+    """(src, dst, bits): pairs src < dst of rows whose 64-bit hashes differ in at most `most` bits, none missed.
+
+    The hash is cut into most + agree pieces; two hashes within `most` bits have at least `agree` pieces in common, so each
+    choice of that many pieces is a key and only rows with an equal key are compared. More agreeing pieces make rarer
+    keys. Equal hashes give their pairs too; call it on distinct ones where a hash may be frequent. Null hashes have no pairs.
+    """
+    n = most + agree
+    edges = [round(64 * i / n) for i in range(n + 1)]
+    piece = [F.shiftrightunsigned(F.shiftleft(F.col("h"), 64 - b), 64 - b + a) for a, b in zip(edges, edges[1:])]
+    keys = [F.xxhash64(F.lit(k), *[piece[i] for i in chosen]) for k, chosen in enumerate(combinations(range(n), agree))]
+    hashed = rows.where(F.col(c).isNotNull()).select(F.col(key).alias("id"), F.col(c).alias("h"))
+    placed_ = hashed.select("id", "h", F.explode(F.array(*keys)).alias("k"))
+    met = placed_.alias("a").join(placed_.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")))
+    bits = hamming(F.col("a.h"), F.col("b.h"))
+    return met.where(bits <= most).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), bits.alias("bits")).distinct()
+
+
+def image_duplicates(rows: DataFrame, key: str, digest: str, phash: str, vector: str, quality: str, most: int = 5, least_dot: float = 0.98) -> DataFrame:
+    """(key, status, of) of every image: exact, near or kept.
+
+    Exact: in a group of equal digests, but for its best, whose key is `of`. The whole group, its best too (kept), leaves the
+    search for near ones. Those left are gone through by quality, best first, ties by key: one is near if a kept one before
+    it has a perceptual hash within `most` bits or, where one of the two has no hash, a cosine of at least `least_dot`.
+    Of the images of one hash only the best and those near by vector to one without are compared further. Null digests are no
+    group; images without hash and vector have no near ones. Null qualities come last.
+    """
+    groups = exact_groups(rows, key, digest, quality).where("group_size > 1")
+    best = groups.where("rank = 1").select(digest, F.col(key).alias("of"))
+    exact = groups.join(best, digest).select(key, F.when(F.col("rank") > 1, "exact").otherwise("kept").alias("status"), F.when(F.col("rank") > 1, F.col("of")).alias("of"))
+    left = rows.join(groups.select(key), key, "left_anti").select(F.col(key).alias("id"), F.col(phash).alias("h"), F.col(vector).alias("v"), F.col(quality).alias("q"))
+    left = cut(placed(left, [], [F.col("q").desc_nulls_last(), F.col("id")], "o"), "images")
+    lone = left.where("h is null").select("o")
+    pairs = near_pairs(left.where("v is not null"), "o", "v", 1.0 - least_dot).select("src", "dst")
+    side = lambda c: lone.select(F.col("o").alias(c), F.lit(True).alias(f"bare_{c}"))
+    mixed = cut(pairs.join(side("src"), "src", "left").join(side("dst"), "dst", "left").where("bare_src or bare_dst").select("src", "dst"), "mixed")
+    touched = mixed.select(F.col("src").alias("o")).union(mixed.select("dst")).distinct().withColumn("touched", F.lit(True))
+    hashed = left.where("h is not null").select("o", "h").join(touched, "o", "left")
+    # Of the images with one hash and without a vector's neighbour only the first can be kept; the others have no neighbour that it lacks.
+    firsts = hashed.where("touched is null").groupBy("h").agg(F.min("o").alias("o")).select("o", "h")
+    active = cut(firsts.union(hashed.where("touched").select("o", "h")), "active")
+    near_hashes = hash_pairs(active.select("h").distinct(), "h", "h", most).select("src", "dst")
+    one, other = (active.select(F.col("o").alias(c), F.col("h").alias(f"h_{c}")) for c in ("x", "y"))
+    across = near_hashes.join(one, F.col("src") == F.col("h_x")).join(other, F.col("dst") == F.col("h_y")).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    within = one.join(other, (F.col("h_x") == F.col("h_y")) & (F.col("x") < F.col("y"))).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    kept = maximal_independent(active.select("o").union(lone), across.union(within).union(mixed), "o", "o")
+    near = left.select(F.col("id").alias(key), "o").join(kept.withColumn("k", F.lit(True)), "o", "left").select(key, F.when(F.col("k"), "kept").otherwise("near").alias("status"), F.lit(None).cast(rows.schema[key].dataType).alias("of"))
+    return exact.union(near)
+
+
 def removal_report(groups: DataFrame, cluster: str) -> DataFrame:
     """Members before, removed and after, of each cluster with two or more. groups: cluster and kept."""
     out = groups.groupBy(cluster).agg(F.count("*").alias("n_before"), F.count_if(~F.col("kept")).alias("n_removed"))

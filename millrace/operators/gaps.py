@@ -33,11 +33,11 @@ def quota(needed: str = "needed", per_gap: int = 10) -> Column:
 
 
 def planned(recommended: DataFrame, base_seed: int = 42, per_gap: int = 10, prompts: dict[str, str] | None = None, variants: list[str] = ("soft light", "studio", "outdoors")) -> DataFrame:
-    """A row for each item to make: its gap, seed (base + running number) and prompt; the variant is chosen by a hash of the seed."""
+    """A row for each item to make: its gap, seed (base + running number) and prompt; the variant is chosen by the first 32 bits of the seed's MD5."""
     rows = recommended.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(quota(per_gap=per_gap), F.lit(0))))).where("needed > 0")
     n = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("ord", "k")) - 1  # as many rows as items, a few a gap
     named = F.coalesce(F.create_map(*[F.lit(x) for kv in (prompts or {"": ""}).items() for x in kv])[F.col("target")], F.replace("target", F.lit("_"), F.lit(" ")))
-    pick = F.element_at(F.array(*[F.lit(v) for v in variants]), (F.pmod(F.crc32(F.col("seed").cast("string")), F.lit(len(variants))) + 1).cast("int"))
+    pick = F.element_at(F.array(*[F.lit(v) for v in variants]), (F.pmod(F.conv(F.substring(F.md5(F.col("seed").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(len(variants))) + 1).cast("int"))
     return rows.withColumn("seed", F.lit(base_seed) + n).select("ord", "target", "seed", F.concat_ws(", ", named, pick).alias("prompt"))
 
 

@@ -60,13 +60,22 @@ def image_manifest(spark, d):
     return images.image_manifest(shots, described, "img_id").select("img_id", "shot", "pose", F.array_join("concepts", "|").alias("concepts"))
 
 
-def pixel_metrics(spark, d):
-    """Metrics of 16 x 16 images made of the vectors' components; no counterpart in SQL."""
+def _pixels(spark, d):
+    """Metrics of 16 x 16 images made of the vectors' components."""
     from millrace.operators import pixels
 
     made = F.unhex(F.array_join(F.transform(F.flatten(F.array_repeat("embedding", 4)), lambda x: F.lpad(F.hex(F.floor(F.abs(x.cast("double")) * 255 * 4).cast("int") % 256), 2, "0")), ""))
     rows = table(spark, d, "embeddings").select("vec_id", made.alias("pixels"), F.lit(16).alias("width"), F.lit(16).alias("height"))
-    return pixels.pixel_metrics(rows, "vec_id").select("vec_id", F.round("blur_score", 3).alias("blur_score"), F.round("brightness", 6).alias("brightness"), "phash")
+    return pixels.pixel_metrics(rows, "vec_id")
+
+
+def pixel_metrics(spark, d):
+    return _pixels(spark, d).select("vec_id", F.round("blur_score", 6).alias("blur_score"), F.round("brightness", 6).alias("brightness"))
+
+
+def pixel_hashes(spark, d):
+    """The perceptual hash has no counterpart in SQL."""
+    return _pixels(spark, d).select("vec_id", "phash")
 
 
 def taxonomy_tags(spark, d):
@@ -273,6 +282,8 @@ SQL = {
     "cumulative_rate": f"WITH {_DAILY} SELECT day, sum(made) OVER w::BIGINT AS total_made, sum(approved) OVER w::BIGINT AS total_approved, round(sum(approved) OVER w / sum(made) OVER w, 6) AS rate FROM daily WINDOW w AS (ORDER BY day)".replace("sum(made) OVER w::BIGINT", "(sum(made) OVER w)::BIGINT").replace("sum(approved) OVER w::BIGINT", "(sum(approved) OVER w)::BIGINT"),
     "resume_iteration": f"WITH {_DAILY} SELECT n + 1 AS next_iteration, first_converged, n + 1 <= 365 AND first_converged IS NULL AS goes_on FROM (SELECT count(*) AS n, min(day) FILTER (abs((metric - p) / nullif(p, 0)) < 0.05::DOUBLE) AS first_converged FROM (SELECT *, lag(metric) OVER (ORDER BY day) AS p FROM daily))",
     "validation_routes": f"WITH {_VALID} SELECT CASE WHEN reason IS NULL THEN 'approved' WHEN reason <> 'missing' THEN 'rejected' END AS route, count(*) AS n, round(avg(quality), 6) AS avg_quality FROM val GROUP BY 1",
+    "generation_plan": f"WITH {_GAPS}, made AS (SELECT ord, target, row_number() OVER (ORDER BY ord, k) + 41 AS seed FROM (SELECT ord, target, unnest(range(1, least(needed, 75) + 1)) AS k FROM gaps WHERE needed > 0)) SELECT ord, target, seed::INT AS seed, CASE target WHEN 'front' THEN 'a face from the front' ELSE replace(target, '_', ' ') END || ', ' || ['soft light', 'studio', 'outdoors'][(('0x' || substr(md5(seed::VARCHAR), 1, 8))::BIGINT % 3 + 1)::INT] AS prompt FROM made",
+    "pixel_metrics": "WITH px AS (SELECT vec_id, list_transform(embedding, lambda x: floor(abs(x::DOUBLE) * 255 * 4)::INT % 256) AS c FROM embeddings), inner_ AS (SELECT vec_id, c, list_transform(range(196), lambda i: c[((i // 14) * 16 + i % 14 + 1) % 64 + 1] + c[((i // 14 + 2) * 16 + i % 14 + 1) % 64 + 1] + c[((i // 14 + 1) * 16 + i % 14) % 64 + 1] + c[((i // 14 + 1) * 16 + i % 14 + 2) % 64 + 1] - 4 * c[((i // 14 + 1) * 16 + i % 14 + 1) % 64 + 1]) AS l FROM px) SELECT vec_id, round(list_aggregate(l, 'var_pop'), 6) AS blur_score, round(list_avg(c), 6) AS brightness FROM inner_",
     "merge_approved": "SELECT origin, count(*) AS n, min(file) AS first FROM (SELECT s_name AS file, 'real' AS origin FROM supplier UNION ALL SELECT 'synthetic_' || p_name || CASE p_size % 3 WHEN 0 THEN '.PNG' ELSE '.jpg' END, 'synthetic' FROM part WHERE p_size % 3 < 2) GROUP BY origin",
 }
-QUERIES = {k: globals()[k] for k in SQL} | {"generation_plan": generation_plan, "pixel_metrics": pixel_metrics}
+QUERIES = {k: globals()[k] for k in SQL} | {"pixel_hashes": pixel_hashes}
