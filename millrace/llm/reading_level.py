@@ -24,7 +24,8 @@ from millrace.plans.runtime import cut, once
 #: The levels' places on the scale.
 ANCHORS = {"easy": -1.0, "medium": 0.0, "hard": 1.0}
 MIN_WORDS = 60
-ROUNDS = 3
+#: Rounds of the fit at least, and at most; it ends when the documents' levels move by less than SETTLED on average.
+ROUNDS, MOST_ROUNDS, SETTLED = 2, 10, 0.05
 #: Words holding more than 1/HOT of all occurrences are joined by broadcast; there are less than HOT of them.
 HOT = 1000
 _GRID = np.linspace(-1.6, 1.6, 129)
@@ -73,7 +74,7 @@ def fit_levels(docs: DataFrame, anchors: DataFrame, rounds: int = ROUNDS, prior:
     """(levels, words): doc_id and t of every document and reference; word, b and n of every word.
 
     docs and anchors: doc_id, words, total; anchors also have t, their fixed level. The first round knows
-    the anchors only, the later ones all documents. Each half round is one aggregation by word or by
+    the anchors only, the later ones all documents; there are at least `rounds` of them. Each half round is one aggregation by word or by
     document; what comes to the driver is a histogram of levels and one of difficulties. A word in most
     documents is joined by broadcast, see HOT.
     """
@@ -83,7 +84,8 @@ def fit_levels(docs: DataFrame, anchors: DataFrame, rounds: int = ROUNDS, prior:
     levels = every.select("doc_id", "total", F.col("anchor").alias("t"), F.col("anchor"))
     lo, step = float(_GRID[0]), float(_GRID[1] - _GRID[0])
     vocabulary = levels
-    for _ in range(rounds):
+    done, moved = 0, 1.0
+    while done < rounds or (moved > SETTLED and done < MOST_ROUNDS):
         used = levels.where("t is not null")
         place = F.greatest(F.lit(0), F.least(F.lit(len(_GRID) - 1), F.round((F.col("t") - lo) / step))).cast("int")
         share = np.zeros(len(_GRID))
@@ -106,8 +108,12 @@ def fit_levels(docs: DataFrame, anchors: DataFrame, rounds: int = ROUNDS, prior:
         rest = vocabulary.where(F.col("n") <= whole / HOT).select("word", "b")
         scored = occurrences.join(hot, "word").select("doc_id", "n", "b").union(occurrences.join(hot.select("word"), "word", "left_anti").join(rest, "word").select("doc_id", "n", "b"))
         sums = scored.groupBy("doc_id").agg((F.sum(F.col("n") * F.col("b"))).alias("s"))
+        before = levels.select("doc_id", F.col("t").alias("before"))
         found = every.select("doc_id", "total", "anchor").join(sums, "doc_id", "left").mapInArrow(_read_off(mean), "doc_id long, total long, anchor double, free double")
-        levels = cut(found.select("doc_id", "total", F.coalesce("anchor", F.greatest(F.lit(-1.2), F.least(F.lit(1.2), F.col("free")))).alias("t"), "anchor", "free"), "levels")
+        levels = cut(found.select("doc_id", "total", F.coalesce("anchor", F.greatest(F.lit(-1.2), F.least(F.lit(1.2), F.col("free")))).alias("t"), "anchor", "free").join(before, "doc_id", "left"), "levels")
+        moved = levels.where("anchor is null").agg(F.avg(F.abs(F.col("t") - F.coalesce("before", F.lit(0.0))))).first()[0] or 0.0
+        levels = levels.drop("before")
+        done += 1
     return levels, vocabulary
 
 
@@ -132,7 +138,7 @@ def reading_levels(documents: DataFrame, reference: DataFrame, rounds: int = ROU
     out. Line layout, headings, speakers' names and mark-up don't matter: only whole words count.
     reference: ref_id, level_name, text (bounded: a few texts a level); without one there are no levels.
     """
-    texts = once(documents.select("doc_id", "text").where(F.length("text") >= 2 * min_words), "doc_id")
+    texts = once(documents.select("doc_id", "text").where(F.length("text") >= 2 * min_words - 1), "doc_id")
     docs = texts.where("doc_id is not null").mapInArrow(_word_counts(min_words, True), _DOC)
     place = F.create_map(*[x for k, v in ANCHORS.items() for x in (F.lit(k), F.lit(v))])[F.col("level_name")]
     refs = reference.where(F.col("text").isNotNull()).select((-F.col("ref_id") - F.lit(1 << 40)).alias("doc_id"), "text", place.alias("t")).where("t is not null").dropDuplicates(["doc_id"])

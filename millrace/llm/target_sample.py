@@ -11,6 +11,8 @@ from millrace.plans.ranges import prefix_sums
 from millrace.plans.runtime import cut, width
 
 FIELDS = ("shot_type", "face_angles")
+#: Parameter: raking ends when a round moves no weight, at the latest after so many rounds; the report's `settled` tells which.
+RAKE_ROUNDS = 1000
 #: Words that tell a category, tried in order.
 SHOT_WORDS = {"close": "close|head ?shot|portrait|tight", "mid": "mid|medium|waist|half|cowboy", "far": "far|wide|full|long|distant"}
 ANGLE_WORDS = {"three_quarter": r"three quarter|3 ?4|¾|quarter", "profile": "profile|side|lateral", "front": "front|facing|head on"}
@@ -49,7 +51,7 @@ def _rake(cells: pd.DataFrame, goals: pd.DataFrame) -> pd.DataFrame:
     w = n.copy()
     for f in fields:
         w[~np.isin(of[f].astype(str), [str(c) for c in share[f]])] *= 1e-6  # images outside the categories only fill up
-    for _ in range(200):
+    for _ in range(RAKE_ROUNDS):
         moved = 0.0
         for f in fields:
             total = w.sum()
@@ -91,7 +93,7 @@ def _rake(cells: pd.DataFrame, goals: pd.DataFrame) -> pd.DataFrame:
             give = [j for j in range(len(n)) if not mine[j] and quota[j] > 0]
             if quota.sum() > draw and give and spare(j := max(give, key=lambda j: (spare(j), -j))) > 0:
                 quota[j] -= 1
-    return cells.assign(weight=w / n, quota=quota)
+    return cells.assign(weight=w / n, quota=quota, settled=bool(moved < 1e-9))
 
 
 def draw_sample(images: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +104,8 @@ def draw_sample(images: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[
     range partitions, so that a data set with a third of all images spreads over many tasks. A minimum
     that the shares leave unmet takes the place of what is over elsewhere, or enlarges the sample.
     report: a row for each target with `available`, `needed` (the larger of the share of draw_rows and
-    min_rows), `drawn`, the residual `gap` in rows, and `unmet` where available is less than needed.
+    min_rows), `drawn`, the residual `gap` in rows, `unmet` where available is less than needed, and `settled`, whether
+    the data set's margins could be raked to agree (null without images).
     A data set without images has reports but no sample. Null categories are in no category. Targets that
     are repeated count once.
     """
@@ -112,10 +115,10 @@ def draw_sample(images: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[
     cells = now.groupBy("dataset_id", *FIELDS).agg(F.count("*").alias("n"))
     parts = width(images.sparkSession)
     cells = cells.na.fill("", list(FIELDS)).repartition(parts, "dataset_id")
-    schema = "dataset_id string, shot_type string, face_angles string, n long, weight double, quota long"
-    raked = cut(cells.groupBy("dataset_id").cogroup(goals.repartition(parts, "dataset_id").groupBy("dataset_id")).applyInPandas(lambda c, g: _rake(c.sort_values(list(FIELDS), ignore_index=True), g.fillna({"target_pct": 0, "draw_rows": 0, "min_rows": 0})) if len(c) and len(g) else pd.DataFrame(columns=["dataset_id", "shot_type", "face_angles", "n", "weight", "quota"]).astype({"n": "int64", "weight": "float64", "quota": "int64"}), schema), "raked")
+    schema = "dataset_id string, shot_type string, face_angles string, n long, weight double, quota long, settled boolean"
+    raked = cut(cells.groupBy("dataset_id").cogroup(goals.repartition(parts, "dataset_id").groupBy("dataset_id")).applyInPandas(lambda c, g: _rake(c.sort_values(list(FIELDS), ignore_index=True), g.fillna({"target_pct": 0, "draw_rows": 0, "min_rows": 0})) if len(c) and len(g) else pd.DataFrame(columns=["dataset_id", "shot_type", "face_angles", "n", "weight", "quota", "settled"]).astype({"n": "int64", "weight": "float64", "quota": "int64", "settled": "bool"}), schema), "raked")
 
-    keyed = now.na.fill("", list(FIELDS)).join(raked.where("quota > 0").drop("n"), ["dataset_id", *FIELDS])
+    keyed = now.na.fill("", list(FIELDS)).join(raked.where("quota > 0").drop("n", "settled"), ["dataset_id", *FIELDS])
     u = (F.pmod(F.xxhash64(F.lit(seed), "dataset_id", "image_path"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     keyed = keyed.withColumn("key", -F.log(u) / F.greatest("weight", F.lit(1e-300))).withColumn("one", F.lit(1).cast("long"))
     ranked = prefix_sums(keyed, ["dataset_id", *FIELDS], ["key", "image_path"], "one", "nth")
@@ -128,5 +131,6 @@ def draw_sample(images: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[
 
     keys = ["dataset_id", "field_name", "category"]
     report = goals.join(counted(now, "available"), keys, "left").join(counted(sample, "drawn"), keys, "left").na.fill(0, ["available", "drawn"])
+    report = report.join(raked.groupBy("dataset_id").agg(F.every("settled").alias("settled")), "dataset_id", "left")
     report = report.withColumn("needed", F.greatest(F.col("target_pct") * F.col("draw_rows") / 100, F.col("min_rows").cast("double")))
     return sample, report.withColumn("gap", F.col("needed") - F.col("drawn")).withColumn("unmet", F.col("available") * 100 < F.greatest(F.col("target_pct") * F.col("draw_rows"), F.col("min_rows") * 100.0))
