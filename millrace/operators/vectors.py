@@ -16,10 +16,15 @@ from pyspark.sql import types as T
 
 from millrace.plans.graph import connected_components
 from millrace.plans.ranges import placed
-from millrace.plans.runtime import cut
+from millrace.plans.runtime import cut, spread
 
-#: Keeping the chance to miss a pair at the limit below one in ten thousand decides the number of bands; at most this many.
-MISS, MOST_BANDS = 1e-4, 512
+#: Keeping the chance to miss a pair at the limit below one in ten thousand decides the number of bands; rows made for them at a time.
+MISS, SLICE = 1e-4, 1024
+#: Signs of random projections kept of a vector, and how many standard deviations below the expectation at the limit their agreement may lie.
+BITS, DEVIATIONS = 512, 4.0
+#: Rows of a bucket that one task compares with the bucket's others.
+SALT_ROWS = 4000
+_SIGNS = [f"s{i}" for i in range(BITS // 64)]
 
 
 def norm(c: str = "embedding"):
@@ -46,41 +51,60 @@ def near_pairs(df: DataFrame, key: str, c: str, eps: float, directions: int = 64
     """(src, dst, distance): pairs with src < dst whose cosine distance is at most eps, exact for each pair found.
 
     Each vector goes to one bucket a band, named by the random direction it lies nearest to; only rows of
-    a bucket are compared. The bands are as many as leave a pair at the limit undetected less than once in
-    ten thousand. Zero, null and empty vectors have no pairs; repeated vectors are pairs at distance 0.
-    Larger thresholds need more bands; where they would be more than 512 the call is refused.
+    a bucket are compared, first by the signs of random projections, then, each pair once, exactly. The bands are as many as leave a pair
+    at the limit undetected less than once in ten thousand; the signs lose three in a hundred thousand. A bucket of many rows is dealt to
+    several tasks. Zero, null and empty vectors have no pairs; repeated vectors are pairs at distance 0. Larger
+    thresholds need more bands, without an upper limit; from 1 on, where nearness is no more than chance, the call is refused.
     """
+    if not 0 <= eps < 1:
+        raise ValueError("the cosine distance must be at least 0 and below 1")
     p = _collision(1 - eps, directions)
-    bands = int(np.ceil(np.log(MISS) / np.log(max(1e-9, 1 - p))))
-    if bands > MOST_BANDS:
-        raise ValueError(f"a distance of {eps} would need {bands} bands")
+    bands = max(1, int(np.ceil(np.log(MISS) / np.log(max(1e-9, 1 - p))))) if p < 1 else 1
+    agree = 1 - np.arccos(np.clip(1 - eps, -1, 1)) / np.pi
+    least = int(np.floor(BITS * agree - DEVIATIONS * np.sqrt(BITS * agree * (1 - agree))))
     rows = df.select(F.col(key).alias("id"), unit(c).alias("v")).where(F.size("v") > 0).where(F.exists("v", lambda x: x != 0))
-    schema = T.StructType([rows.schema["id"], T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("keys", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([rows.schema["id"], T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("keys", T.ArrayType(T.IntegerType())), *(T.StructField(s, T.LongType()) for s in _SIGNS)])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            for size in np.unique(sizes):
-                at = pa.array(np.flatnonzero(sizes == size))
-                x = np.asarray(b.column(1).take(at).flatten()).reshape(len(at), -1)
-                lines = np.random.default_rng(seed).standard_normal((int(size), bands * directions))
-                proj = (x @ lines).reshape(len(at), bands, directions)
-                best = np.abs(proj).argmax(2)
-                sign = np.take_along_axis(proj, best[:, :, None], 2)[:, :, 0] > 0
-                keys = (np.arange(bands) * 2 * directions + best * 2 + sign).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))], names=["id", "v", "keys"])
-
-    signed = cut(rows.mapInArrow(keyed, schema), "signed")
-    placed = signed.select("id", F.explode("keys").alias("k"))
-    met = placed.alias("a").join(placed.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                b = whole.slice(lo, SLICE)
+                sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                for size in np.unique(sizes):
+                    at = pa.array(np.flatnonzero(sizes == size))
+                    x = np.asarray(b.column(1).take(at).flatten()).reshape(len(at), -1)
+                    r = np.random.default_rng(seed)
+                    signs = np.packbits(x @ r.standard_normal((int(size), BITS)) > 0, axis=1).view(np.int64)
+                    keys = np.empty((len(at), bands), dtype=np.int32)
+                    for band in range(bands):
+                        proj = x @ r.standard_normal((int(size), directions))
+                        best = np.abs(proj).argmax(1)
+                        keys[:, band] = (band * directions + best) * 2 + (proj[np.arange(len(at)), best] > 0)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), lists, *(pa.array(np.ascontiguousarray(signs[:, i])) for i in range(len(_SIGNS)))], names=[f.name for f in schema.fields])
+
+    signed = cut(spread(rows).mapInArrow(keyed, schema), "signed")
+    held = signed.select("id", *_SIGNS, F.explode("keys").alias("k"))
+    salts = held.groupBy("k").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).where("salts > 1")
+    held = held.join(salts, "k", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    a = held.select(F.col("id").alias("src"), "k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(s).alias(f"a{s}") for s in _SIGNS])
+    b = held.select(F.col("id").alias("dst"), "k", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), *_SIGNS)
+    differing = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"a{s}"))) for s in _SIGNS[1:]), F.bit_count(F.col(_SIGNS[0]).bitwiseXOR(F.col(f"a{_SIGNS[0]}"))))
+    met = a.join(b, ["k", "salt"]).where(F.col("src") < F.col("dst")).where(differing <= BITS - least).select("src", "dst").distinct()
     full = met.join(signed.select(F.col("id").alias("src"), F.col("v").alias("va")), "src").join(signed.select(F.col("id").alias("dst"), F.col("v").alias("vb")), "dst").where(F.size("va") == F.size("vb"))
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return full.select("src", "dst", (F.lit(1.0) - dot).alias("distance")).where(F.col("distance") <= eps)
 
 
 def density_clusters(df: DataFrame, key: str, c: str, eps: float, least: int = 2) -> DataFrame:
-    """(id, label) of every vector: the rank of its component by least id among components of at least `least`, else -1."""
-    pairs = cut(near_pairs(df, key, c, eps), "pairs")
+    """(id, label) of every vector: the rank of its component by least id among components of at least `least`, else -1.
+
+    Exact copies of a vector are one in the search for pairs, so that a group of them gives no pairs.
+    """
+    same = df.where(F.exists(c, lambda x: x != 0)).select(F.col(key).alias("id"), F.col(c).alias("v"))
+    firsts = same.groupBy("v").agg(F.min("id").alias("src"))
+    copies = same.join(firsts, "v").where("id <> src").select("src", F.col("id").alias("dst"))
+    pairs = cut(near_pairs(firsts, "src", "v", eps).select("src", "dst").union(copies), "pairs")
     parts = connected_components(pairs)
     sizes = parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     ranked = placed(sizes, [], ["component"], "label")

@@ -1,5 +1,6 @@
 import pickle
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -161,8 +162,9 @@ def test_clusters(spark):
     labels = dict(rows(vectors.density_clusters(df, "id", "e", 0.2)))
     assert labels == {0: 0, 1: 0, 2: 0, 3: -1, 4: -1, 5: -1, 6: -1}
     assert vectors.cluster_stats(vectors.density_clusters(df.limit(0), "id", "e", 0.2)).first().max_size is None
-    with pytest.raises(ValueError, match="bands"):
-        vectors.near_pairs(df, "id", "e", 0.99)
+    assert vectors.near_pairs(df, "id", "e", 0.99).count() >= vectors.near_pairs(df, "id", "e", 0.2).count()
+    with pytest.raises(ValueError, match="below 1"):
+        vectors.near_pairs(df, "id", "e", 1.0)
 
 
 def test_exact_groups_and_hamming(spark):
@@ -211,3 +213,17 @@ def test_pixels(spark):
     assert out[1].blur_score > 1000 > out[2].blur_score and out[4].phash is None and out[5].blur_score is None and out[6].blur_score == 0
     differ = lambda a, b: bin((out[a].phash ^ out[b].phash) & (2**64 - 1)).count("1")
     assert differ(1, 3) <= 5 < differ(1, 2)
+
+
+def test_near_pairs_of_a_wide_threshold_and_a_hot_group(spark):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((300, 32))
+    x[:100] = x[0] + 0.01 * r.standard_normal((100, 32))  # a third of all rows lie together
+    df = spark.createDataFrame([(i, [float(t) for t in v]) for i, v in enumerate(x)], "id long, e array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(1 - u @ u.T <= 0.8, 1)))}
+    before, vectors.SALT_ROWS = vectors.SALT_ROWS, 40
+    try:
+        assert {(p.src, p.dst) for p in vectors.near_pairs(df, "id", "e", 0.8).collect()} == want
+    finally:
+        vectors.SALT_ROWS = before
