@@ -172,8 +172,19 @@ def streaming_latest(spark, d):
     rows = logs.stream(spark, d, spark.read.parquet(source).schema, names="events.parquet")
     query = logs.merge_into(rows.select("user_id", "event_id", "event_type"), f"{store}/data", "user_id", "event_id", f"{store}/log")
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.parquet(f"{store}/data/{last}")
+    return logs.current(spark, f"{store}/data", rows.select("user_id", "event_id", "event_type").schema)
+
+
+def streaming_windows(spark, d):
+    """The counts of hourly_events, by a stream with a watermark."""
+    import uuid
+
+    store = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rows = logs.stream(spark, d, spark.read.parquet(f"{d}/events.parquet").schema, names="events.parquet")
+    rows = rows.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")  # a watermark needs instants; the session's zone is that of the table
+    logs.windows_into(rows, f"{store}/data", "ts", "event_type", f"{store}/log", "1 day", "3650 days").awaitTermination()
+    found = logs.current(spark, f"{store}/data", logs.window_counts(rows, "ts", "event_type").schema)
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def hourly_events(spark, d):
@@ -219,6 +230,7 @@ SQL = {
     "columnar_messages": f"WITH {b.PAIRS} SELECT pair_id, 'assistant' AS role FROM prs",
     "props_json": "SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events",
     "hourly_events": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "streaming_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "streaming_latest": "SELECT user_id, event_id, event_type FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "pickle_scan": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'os.system' ELSE '' END AS imports, CASE p_partkey % 3 WHEN 0 THEN 'dangerous' WHEN 1 THEN 'safe' ELSE 'damaged' END AS risk FROM part",
 }

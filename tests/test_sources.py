@@ -2,6 +2,7 @@ import json
 
 from conftest import rows
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.sources import files
 from millrace.streaming import logs
@@ -94,8 +95,26 @@ def test_stream_keeps_the_last(spark, tmp_path):
     logs.merge_into(rows_, store, "k", "o", log).awaitTermination()
     spark.createDataFrame([("a", 2, "z"), ("b", 0, "old")], schema).write.parquet(str(src / "2"))
     logs.merge_into(rows_, store, "k", "o", log).awaitTermination()
-    last = max(int(p.name) for p in (tmp_path / "store").iterdir())
-    assert rows(spark.read.parquet(f"{store}/{last}")) == [("a", 2, "z"), ("b", 1, "y")]
+    assert rows(logs.current(spark, store, rows_.schema)) == [("a", 2, "z"), ("b", 1, "y")]
+    spark.createDataFrame([(f"k{i}", 1, "x") for i in range(300)], schema).write.parquet(str(src / "3"))
+    logs.merge_into(rows_, store, "k", "o", log).awaitTermination()
+    spark.createDataFrame([("a", 3, "w"), (None, 9, "n")], schema).write.parquet(str(src / "4"))
+    logs.merge_into(rows_, store, "k", "o", log).awaitTermination()
+    newest = max((tmp_path / "store").iterdir(), key=lambda p: int(p.name))
+    assert len(list(newest.glob("bucket=*"))) == 1 and logs.current(spark, store, rows_.schema).count() == 302
+    assert logs.current(spark, str(tmp_path / "nothing"), rows_.schema).count() == 0
+
+
+def test_a_late_row_is_dropped(spark, tmp_path):
+    schema, src = "t timestamp, k string", tmp_path / "in"
+    stamp = lambda *ts: spark.createDataFrame([(t, "a") for t in ts], "t string, k string").withColumn("t", F.to_timestamp("t"))
+    store, log = str(tmp_path / "store"), str(tmp_path / "log")
+    for i, ts in enumerate((["2024-01-01 00:10:00", "2024-01-01 05:00:00"], ["2024-01-01 00:20:00", "2024-01-01 04:10:00"], ["2024-01-01 05:30:00"])):
+        stamp(*ts).write.parquet(str(src / str(i)))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(src))
+        logs.windows_into(stream, store, "t", "k", log, "1 hour", "2 hours").awaitTermination()
+    got = logs.current(spark, store, T.StructType.fromDDL("key string, start timestamp, k string, n long"))
+    assert [(r.start.hour, r.n) for r in got.orderBy("start").collect()] == [(0, 1), (4, 1), (5, 2)]
 
 
 def test_window_counts(spark):
