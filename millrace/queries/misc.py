@@ -116,7 +116,7 @@ def columnar_messages(spark, d):
     from millrace.operators import chat
 
     rows = b.pairs(spark, d).select("pair_id", chat.chat_messages().alias("messages"))
-    return files.columnar(rows).select("pair_id", F.get_json_object("messages", "$[1].role").alias("role"))
+    return files.columnar(rows).select("pair_id", F.get_json_object("messages", "$[1].role").alias("role"), F.get_json_object("messages", "$[0].content").alias("question"), F.get_json_object("messages", "$[1].content").alias("answer"))
 
 
 def props_json(spark, d):
@@ -155,12 +155,15 @@ def generic_messages(spark, d):
     return files.conversation_messages(found, "source_file").select("source_file", "conv_id", "format", "role", "text", "message_id")
 
 
-def pickle_scan(spark, d):
-    import pickle
+#: Modules and names that the scanned pickles import, by the parts' keys and sizes.
+MODULES, NAMES = ["os", "torch", "numpy", "subprocess", "collections", "plugin", "builtins", "shutil", "mylib", "datetime", "posix"], ["system", "OrderedDict", "eval", "array", "open", "Tensor", "getattr"]
+
 
-    bad = b"cos\nsystem\n(S'true'\ntR."
-    made = F.when(F.col("p_partkey") % 3 == 0, F.lit(bytearray(bad))).when(F.col("p_partkey") % 3 == 1, F.lit(bytearray(pickle.dumps({"a": [1, 2]})))).otherwise(F.lit(bytearray(b"\x80\x04broken")))
-    return scan.pickle_scan(table(spark, d, "part").select("p_partkey", made.alias("content")), "p_partkey").select("p_partkey", F.array_join("imports", ",").alias("imports"), "risk")
+def pickle_scan(spark, d):
+    """Pickles that import a module's name and call it with the part's own name; those of every fifth size are cut off."""
+    pick = lambda xs, c: F.element_at(F.array(*map(F.lit, xs)), (F.col(c) % len(xs) + 1).cast("int"))
+    text = F.concat(F.lit("c"), pick(MODULES, "p_partkey"), F.lit("\n"), pick(NAMES, "p_size"), F.lit("\n(V"), F.regexp_replace("p_name", r"[^A-Za-z0-9 ]", ""), F.lit("\ntR"), F.when(F.col("p_size") % 5 != 0, ".").otherwise(""))
+    return scan.pickle_scan(table(spark, d, "part").select("p_partkey", text.cast("binary").alias("content")), "p_partkey").select("p_partkey", F.array_join("imports", ",").alias("imports"), "risk")
 
 
 def streaming_latest(spark, d):
@@ -227,12 +230,13 @@ SQL = {
     "taxonomy_prompt": "SELECT '" + "' || chr(10) || '".join(f"{k}: {', '.join(t)}" for k, t in sorted(_TAX.items())) + "' AS prompt",
     "numbered_export": "SELECT s_name, printf('my_set_%04d', row_number() OVER (ORDER BY s_name)) AS export_name FROM supplier",
     "manifest_json": "SELECT n_regionkey, '[' || string_agg('{\"n_name\":\"' || n_name || '\"}', ',' ORDER BY n_name) || ']' AS manifest FROM nation GROUP BY 1",
-    "columnar_messages": f"WITH {b.PAIRS} SELECT pair_id, 'assistant' AS role FROM prs",
+    "columnar_messages": f"WITH {b.PAIRS} SELECT pair_id, 'assistant' AS role, instruction AS question, response AS answer FROM prs",
     "props_json": "SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events",
     "hourly_events": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "streaming_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "streaming_latest": "SELECT user_id, event_id, event_type FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
-    "pickle_scan": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'os.system' ELSE '' END AS imports, CASE p_partkey % 3 WHEN 0 THEN 'dangerous' WHEN 1 THEN 'safe' ELSE 'damaged' END AS risk FROM part",
+    "pickle_scan": f"""SELECT p_partkey, m || '.' || n AS imports, CASE WHEN m IN {tuple(scan.SYSTEM)} OR n IN {(*scan.RUNNERS, "open", "system", "popen")} THEN 'dangerous' WHEN p_size % 5 = 0 THEN 'damaged' WHEN m NOT IN {tuple(scan.SAFE_MODULES)} THEN 'suspicious' ELSE 'safe' END AS risk
+  FROM (SELECT p_partkey, p_size, {MODULES}[(p_partkey % {len(MODULES)} + 1)::INT] AS m, {NAMES}[(p_size % {len(NAMES)} + 1)::INT] AS n FROM part)""",
 }
 _EXPORTS = """ex AS (SELECT DISTINCT ON (export_id) export_id, file_name, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM raw_export),
 f AS (SELECT *, CASE WHEN j IS NULL THEN 'unknown' WHEN json_type(j) = 'OBJECT' AND list_has_all(json_keys(j), ['uuid', 'chat_messages']) THEN 'claude' WHEN json_type(j) = 'OBJECT' AND list_has_all(json_keys(j), ['name', 'mapping']) THEN 'gpt'

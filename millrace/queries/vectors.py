@@ -61,7 +61,7 @@ def cluster_stats(spark, d):
 
 def labels_join(spark, d):
     clusters = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
-    return vectors.apply_labels(clusters, table(spark, d, "nation").where("n_nationkey % 2 = 0"), "n_nationkey", "n_name")
+    return vectors.apply_labels(clusters, table(spark, d, "nation"), "n_nationkey", "n_name")
 
 
 def vault_stats(spark, d):
@@ -156,7 +156,7 @@ SQL = {
     "cluster_summary": f"WITH RECURSIVE {_CLUSTERS} SELECT format('person_{{:03d}}', label) AS cluster, count(DISTINCT id % 40) AS n_images, count(*) AS n_faces, round(avg(abs(v[1])), 6) AS avg_score FROM clusters JOIN e ON e.vec_id = id WHERE label >= 0 GROUP BY label HAVING count(*) >= 3",
     "cluster_preview": f"WITH RECURSIVE {_CLUSTERS} SELECT label, count(*) AS n, array_to_string(list_slice(list_sort(list(id)), 1, 3), ',') AS samples FROM clusters WHERE label >= 0 GROUP BY label",
     "cluster_stats": f"WITH RECURSIVE {_CLUSTERS}, sizes AS (SELECT label, count(*) AS n FROM clusters GROUP BY label) SELECT count(*) FILTER (label >= 0) AS n_clusters, coalesce(sum(n) FILTER (label >= 0), 0)::BIGINT AS n_members, max(n) FILTER (label >= 0) AS max_size, coalesce(sum(n) FILTER (label < 0), 0)::BIGINT AS n_noise FROM sizes",
-    "labels_join": "SELECT c_nationkey AS n_nationkey, c_custkey, coalesce(n_name, c_nationkey::VARCHAR) AS n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) n ON n.n_nationkey = c_nationkey",
+    "labels_join": "SELECT c_nationkey AS n_nationkey, c_custkey, coalesce(n_name, c_nationkey::VARCHAR) AS n_name FROM customer LEFT JOIN nation n ON n.n_nationkey = c_nationkey",
     "vault_stats": f"WITH {_IMAGES} SELECT count(*) AS n_images, sum(coalesce(len(faces), 0))::BIGINT AS n_faces, count(error) AS n_errors, round(avg(coalesce(len(faces), 0)), 6) AS avg_faces FROM images",
     "face_rows": f"WITH {_IMAGES} SELECT image_path, position, round(f.det_score, 6) AS det_score FROM faces WHERE f.embedding IS NOT NULL",
     "detection_filter": f"WITH {_IMAGES} SELECT image_path, position FROM faces WHERE f.det_score >= 0.5 AND f.size[1] >= 50 AND f.size[2] >= 50",
