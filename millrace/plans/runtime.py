@@ -132,6 +132,17 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= n else scan.repartition(n)
 
 
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], by: str) -> DataFrame:
+    """big inner joined with a small side on `on`, where one key may hold a third of big's rows.
+
+    Where the small side isn't broadcast, a key's rows are dealt to as many tasks as the session has cores or partitions, by a hash of
+    `by`, and the small side is repeated for each.
+    """
+    n = width(big.sparkSession)
+    every = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return big.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(n)).cast("int")).join(every, [*on, "__salt"]).drop("__salt")
+
+
 def once(df: DataFrame, *keys: str) -> DataFrame:
     """One row for each key: rows delivered again are dropped. A null key is a key like any other."""
     return df.repartition(width(df.sparkSession), *keys).dropDuplicates(list(keys))
