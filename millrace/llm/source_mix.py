@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.token_ids import BYTE_BPE, TOKENIZERS, token_counts
 from millrace.plans.ranges import prefix_sums
-from millrace.plans.runtime import cut, once
+from millrace.plans.runtime import cut, once, salted_join
 
 
 def source_key(c):
@@ -47,7 +47,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     epochs = F.floor(F.col("target_tokens") / F.col("src_tokens"))
     rest = F.col("target_tokens") - epochs * F.col("src_tokens")
     last = (F.col("upto") - F.col("n_tokens") / 2 <= rest).cast("int")
-    chosen = summed.join(goal.where("src_tokens > 0 and target_tokens > 0"), "src").withColumn("copies", F.least(F.col("max_repeat"), epochs + last).cast("int"))
+    chosen = salted_join(summed, goal.where("src_tokens > 0 and target_tokens > 0"), ["src"], "doc_id").withColumn("copies", F.least(F.col("max_repeat"), epochs + last).cast("int"))
     rows = chosen.where("copies > 0").select("mix_id", "source_name", "doc_id", "n_tokens", "copies")
     taken = rows.groupBy("mix_id", "source_name").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("epochs"))
     report = goal.join(taken, ["mix_id", "source_name"], "left")
