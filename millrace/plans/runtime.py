@@ -132,15 +132,21 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= n else scan.repartition(n)
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], by: str) -> DataFrame:
-    """big inner joined with a small side on `on`, where one key may hold a third of big's rows.
+#: A key with more than one in HOT of all rows is hot; there are less than HOT of them.
+HOT = 1000
 
-    Where the small side isn't broadcast, a key's rows are dealt to as many tasks as the session has cores or partitions, by a hash of
-    `by`, and the small side is repeated for each.
+
+def hot_join(big: DataFrame, small: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
+    """big inner joined with small on `on`, where one key may hold a third of big's rows.
+
+    rows: a column of small with the number of big's rows of the key; total: all of big's rows. The hot keys' rows of small are
+    broadcast: less than HOT keys, with the few rows that small has of a key. No other key has more than one in HOT of the
+    rows, so the rest is shuffled. The column `rows` is left out of the result.
     """
-    n = width(big.sparkSession)
-    every = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return big.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(n)).cast("int")).join(every, [*on, "__salt"]).drop("__salt")
+    hot = F.broadcast(small.where(F.col(rows) * HOT > total))
+    rest = small.where(~(F.col(rows) * HOT > total))
+    few = big.join(hot, on)
+    return few.unionByName(big.join(hot.select(*on), on, "left_anti").join(rest, on)).drop(rows)
 
 
 def once(df: DataFrame, *keys: str) -> DataFrame:

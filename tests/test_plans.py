@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from millrace.operators.dedup import maximal_independent
 from millrace.plans.graph import connected_components
 from millrace.plans.ranges import placed, prefix_sums
-from millrace.plans.runtime import cut, once, salted_join, shared_dir
+from millrace.plans.runtime import cut, hot_join, once, shared_dir
 
 
 def union_find(edges):
@@ -92,11 +92,11 @@ def test_places_of_a_hot_group(spark):
     assert placed(df.limit(0), ["g"], ["o"], "at", {"after": "i"}).count() == 0
 
 
-def test_salted_join(spark):
-    big = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise("cold").alias("k"), "id")
-    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("none", 3)], "k string, v int")
-    got = salted_join(big, small, ["k"], "id")
-    assert got.count() == 1800 and got.columns == ["k", "id", "v"] and salted_join(big.limit(0), small, ["k"], "id").count() == 0
+def test_hot_join(spark):
+    big = spark.range(9000).select(F.when(F.col("id") < 6000, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    small = spark.createDataFrame([("hot", 1, 6000), ("hot", 2, 6000), ("7000", 4, 1), ("none", 3, 0)], "k string, v int, n int")
+    got = hot_join(big, small, ["k"], "n", 9000)
+    assert got.count() == 12_001 and sorted(got.columns) == ["id", "k", "v"] and hot_join(big.limit(0), small, ["k"], "n", 0).count() == 0
 
 
 def test_no_task_holds_a_hot_group(spark):
