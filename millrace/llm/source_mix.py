@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.token_ids import BYTE_BPE, TOKENIZERS, token_counts
 from millrace.plans.ranges import prefix_sums
-from millrace.plans.runtime import cut, once, salted_join
+from millrace.plans.runtime import cut, hot_join, once
 
 
 def source_key(c):
@@ -35,11 +35,11 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     size = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("double").alias("all_tokens")) if total_tokens is None else documents.sparkSession.range(1).select(F.lit(float(total_tokens)).alias("all_tokens"))
     goal = targets.select("mix_id", "source_name", source_key(F.col("source_name")).alias("src"), F.greatest(F.coalesce(F.col("weight"), F.lit(0.0)), F.lit(0.0)).alias("weight"), F.coalesce("max_repeat", F.lit(1)).alias("max_repeat")).distinct().where("mix_id is not null and source_name is not null")
     sums = goal.groupBy("mix_id").agg(F.sum("weight").alias("weights"))
-    held = sized.groupBy("src").agg(F.sum("n_tokens").alias("src_tokens"))
+    held = sized.groupBy("src").agg(F.sum("n_tokens").alias("src_tokens"), F.count("*").alias("src_rows"))
     goal = goal.join(sums, "mix_id").crossJoin(F.broadcast(size))  # one row
     goal = goal.withColumn("target_share", F.when(F.col("weights") > 0, F.col("weight") / F.col("weights")).otherwise(0.0))
     goal = goal.withColumn("target_tokens", F.col("target_share") * F.col("all_tokens"))
-    goal = goal.join(held, "src", "left").withColumn("src_tokens", F.coalesce("src_tokens", F.lit(0)))
+    goal = goal.join(held, "src", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("src_tokens", "src_rows")})
     goal = cut(goal, "goal")
 
     placed = sized.where(F.col("src").isNotNull() & (F.col("n_tokens") > 0)).withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
@@ -47,7 +47,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     epochs = F.floor(F.col("target_tokens") / F.col("src_tokens"))
     rest = F.col("target_tokens") - epochs * F.col("src_tokens")
     last = (F.col("upto") - F.col("n_tokens") / 2 <= rest).cast("int")
-    chosen = salted_join(summed, goal.where("src_tokens > 0 and target_tokens > 0"), ["src"], "doc_id").withColumn("copies", F.least(F.col("max_repeat"), epochs + last).cast("int"))
+    chosen = hot_join(summed, goal.where("src_tokens > 0 and target_tokens > 0"), ["src"], "src_rows", sized.count()).withColumn("copies", F.least(F.col("max_repeat"), epochs + last).cast("int"))
     rows = chosen.where("copies > 0").select("mix_id", "source_name", "doc_id", "n_tokens", "copies")
     taken = rows.groupBy("mix_id", "source_name").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("epochs"))
     report = goal.join(taken, ["mix_id", "source_name"], "left")

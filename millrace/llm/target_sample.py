@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.plans.ranges import prefix_sums
-from millrace.plans.runtime import cut, salted_join, width
+from millrace.plans.runtime import cut, hot_join, width
 
 FIELDS = ("shot_type", "face_angles")
 #: Parameter: raking ends when a round moves no weight, at the latest after so many rounds; the report's `settled` tells which.
-RAKE_ROUNDS = 1000
+RAKE_ROUNDS = 200
 #: Words that tell a category, tried in order.
 SHOT_WORDS = {"close": "close|head ?shot|portrait|tight", "mid": "mid|medium|waist|half|cowboy", "far": "far|wide|full|long|distant"}
 ANGLE_WORDS = {"three_quarter": r"three quarter|3 ?4|¾|quarter", "profile": "profile|side|lateral", "front": "front|facing|head on"}
@@ -118,7 +118,7 @@ def draw_sample(images: DataFrame, targets: DataFrame, seed: int = 42) -> tuple[
     schema = "dataset_id string, shot_type string, face_angles string, n long, weight double, quota long, settled boolean"
     raked = cut(cells.groupBy("dataset_id").cogroup(goals.repartition(parts, "dataset_id").groupBy("dataset_id")).applyInPandas(lambda c, g: _rake(c.sort_values(list(FIELDS), ignore_index=True), g.fillna({"target_pct": 0, "draw_rows": 0, "min_rows": 0})) if len(c) and len(g) else pd.DataFrame(columns=["dataset_id", "shot_type", "face_angles", "n", "weight", "quota", "settled"]).astype({"n": "int64", "weight": "float64", "quota": "int64", "settled": "bool"}), schema), "raked")
 
-    keyed = salted_join(now.na.fill("", list(FIELDS)), raked.where("quota > 0").drop("n", "settled"), ["dataset_id", *FIELDS], "image_path")
+    keyed = hot_join(now.na.fill("", list(FIELDS)), raked.where("quota > 0").drop("settled"), ["dataset_id", *FIELDS], "n", now.count())
     u = (F.pmod(F.xxhash64(F.lit(seed), "dataset_id", "image_path"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     keyed = keyed.withColumn("key", -F.log(u) / F.greatest("weight", F.lit(1e-300))).withColumn("one", F.lit(1).cast("long"))
     ranked = prefix_sums(keyed, ["dataset_id", *FIELDS], ["key", "image_path"], "one", "nth")
