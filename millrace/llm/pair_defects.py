@@ -8,9 +8,10 @@ terminal-context model: how often its last words end a sentence elsewhere, and h
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Container, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from zlib import crc32
 
 import pyarrow as pa
 import regex
@@ -20,11 +21,11 @@ from pyspark.sql import types as T
 
 from millrace.llm.language import asked_language, language
 from millrace.llm.text_stats import layout, measure
-from millrace.plans.runtime import cut, once, spread, width
+from millrace.plans.runtime import cut, once, spread
 
 DEFECTS = ("empty", "copy", "refusal", "other_language", "truncated")
-#: Parameters: the terminal-context model is fitted on at most so many answers, those with the least hashed ids, and keeps at most so many contexts, the most frequent ones.
-FIT_ANSWERS, FIT_CONTEXTS = 40_000, 1_000_000
+#: Bits of the map of the last words asked for, and contexts that a task holds before it hands them on; neither changes a result.
+ASKED_BITS, HELD = 1 << 20, 500_000
 #: Parameter: an answer is a copy if at most one word in so many of its prompt is another one.
 CHANGED = 8
 #: Parameter: an answer of at most so many words breaks off only at a word that never ends a sentence; its words tell no context.
@@ -159,8 +160,11 @@ def in_other_language(prompt: str, answer: str) -> bool:
     return bool(got) and got != wanted and {got, wanted} != {"zh", "ja"}
 
 
-def contexts(text: str) -> Iterator[tuple[str, bool]]:
-    """The last words at every place of the text that ends a sentence (True) or goes on (False)."""
+def contexts(text: str, asked: bytes | None = None) -> Iterator[tuple[str, bool]]:
+    """The last words at every place of the text that ends a sentence (True) or goes on (False).
+
+    asked: a map of the last words whose contexts of several words matter; all do without it.
+    """
     for s in regex.split(r"(?<=[.!?。！？])\s+|\n+", text):
         w = [x.lower() if not x.isdigit() else "0" for x in _WORD.findall(s)]
         closed = bool(_END.search(s)) and not _DOTS.search(s)
@@ -168,7 +172,7 @@ def contexts(text: str) -> Iterator[tuple[str, bool]]:
             last = i + 1 == len(w)
             if last and not closed:
                 continue
-            for n in (1, 2, 3):
+            for n in (1, 2, 3) if asked is None or asked[crc32(x.encode()) % ASKED_BITS] else (1,):
                 if i + 1 >= n:
                     yield " ".join(w[i + 1 - n : i + 1]), last
 
@@ -176,11 +180,11 @@ def contexts(text: str) -> Iterator[tuple[str, bool]]:
 class TerminalModel:
     """How often words end a sentence or go on, with their stems' letters for words not seen."""
 
-    def __init__(self, ended: dict[str, int], went_on: dict[str, int]):
+    def __init__(self, ended: dict[str, int], went_on: dict[str, int], begun: Container[str] | None = None, tails: Container[str] | None = None):
         self.ended, self.went_on = ended, went_on
-        self.words = {w for d in (ended, went_on) for w in d if " " not in w}
-        self.begun = {w[:n] for w in self.words for n in range(3, len(w))}
-        self.tails = Counter(w[-3:] for w in self.words)
+        words = {w for d in (ended, went_on) for w in d if " " not in w}
+        self.begun = {w[:n] for w in words for n in range(3, len(w))} if begun is None else begun
+        self.tails = {w[-3:] for w in words} if tails is None else tails
 
     def breaks_off(self, text: str) -> bool:
         """Whether a text without a closing mark stops where it would go on."""
@@ -190,11 +194,15 @@ class TerminalModel:
             return False
         if _KANA.search(text):
             return text[-1] in OPEN_KANA
-        last, open_word = w[-1], w[-1] in OPEN_WORDS
         if len(w) <= FEW_WORDS:
-            return open_word and len(w) > 1
+            return w[-1] in OPEN_WORDS and len(w) > 1
+        return self.goes_on(w[-3:])
+
+    def goes_on(self, w: list[str]) -> bool:
+        """Whether a text whose last three words are `w` would go on."""
+        last, open_word = w[-1], w[-1] in OPEN_WORDS
         if not self.ended.get(last, 0) + self.went_on.get(last, 0):
-            return open_word or last in self.begun or not self.tails[last[-3:]]
+            return open_word or last in self.begun or last[-3:] not in self.tails
         for n, least in ((3, 4 if open_word else 8), (2, 4 if open_word else 6), (1, 1)):
             key = " ".join(w[-n:])
             e, m = self.ended.get(key, 0), self.went_on.get(key, 0)
@@ -202,6 +210,18 @@ class TerminalModel:
                 return e < 0.02 * (e + m)
 
 
+class Asked(TerminalModel):
+    """Stands for a model that isn't fitted yet: keeps the last three words that were asked about."""
+
+    def __init__(self):
+        super().__init__({}, {})
+        self.end: str | None = None
+
+    def goes_on(self, w: list[str]) -> bool:
+        self.end = " ".join(w)
+        return False
+
+
 def _last_words(text: str) -> str:
     """The end of a text with more words than any context has, or all of it."""
     pieces = text.rsplit(None, 2 * FEW_WORDS)
@@ -263,43 +283,95 @@ def records(pairs: DataFrame, probe: DataFrame) -> DataFrame:
     return once(a.union(b), "src", "rec_id")
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ended: Counter[str] = Counter()
-    went_on: Counter[str] = Counter()
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            for key, last in contexts(text):
-                (ended if last else went_on)[key] += 1
-    keys = list(ended.keys() | went_on.keys())
-    yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.string()), pa.array([ended[k] for k in keys], type=pa.int64()), pa.array([went_on[k] for k in keys], type=pa.int64())], names=["key", "ended", "went_on"])
+def _count(asked: bytes | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ended: Counter[str] = Counter()
+        went_on: Counter[str] = Counter()
 
+        def counted() -> pa.RecordBatch:
+            keys = list(ended.keys() | went_on.keys())
+            out = pa.RecordBatch.from_arrays([pa.array(keys, type=pa.string()), pa.array([ended[k] for k in keys], type=pa.int64()), pa.array([went_on[k] for k in keys], type=pa.int64())], names=["key", "ended", "went_on"])
+            ended.clear()
+            went_on.clear()
+            return out
 
-def fit_terminal(rows: DataFrame, answers: int = FIT_ANSWERS, contexts: int = FIT_CONTEXTS) -> TerminalModel:
-    """The model of at most `answers` answers, chosen by hashed ids; their closing marks are the labels.
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                for key, last in contexts(text, asked):
+                    (ended if last else went_on)[key] += 1
+                if len(ended) + len(went_on) > HELD:
+                    yield counted()
+        yield counted()
 
-    Counted by context before any of it comes to the driver, and at most `contexts` of them do.
-    """
-    few = rows.where("answer is not null").select("answer", F.xxhash64("src", "rec_id").alias("h")).orderBy("h").limit(answers).select("answer")
-    counted = few.repartition(width(rows.sparkSession)).mapInArrow(_count, "key string, ended long, went_on long")
-    summed = counted.groupBy("key").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on")).withColumn("n", F.col("ended") + F.col("went_on"))
-    got = summed.where("n > 1 or not contains(key, ' ')").orderBy(F.desc("n"), "key").limit(contexts).toPandas()
+    return run
+
+
+def count_contexts(rows: DataFrame, asked: bytes | None = None) -> DataFrame:
+    """(key, ended, went_on): how often each context of the answers ends a sentence and goes on; their closing marks are the labels."""
+    counted = spread(rows.where("answer is not null").select("answer")).mapInArrow(_count(asked), "key string, ended long, went_on long")
+    return counted.groupBy("key").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on"))
+
+
+def fit_terminal(rows: DataFrame) -> TerminalModel:
+    """The model of all answers in the driver's memory, for tables that fit there; `pair_defects` looks contexts up by joins."""
+    got = count_contexts(rows).toPandas()
     return TerminalModel({k: v for k, v in zip(got.key, got.ended) if v}, {k: v for k, v in zip(got.key, got.went_on) if v})
 
 
-def pair_defects(rows: DataFrame, answers: int = FIT_ANSWERS) -> DataFrame:
+def open_ends(ends: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of `ends` (end: three words, distinct, stored) after which the answers of `rows` would go on.
+
+    The contexts of all answers are counted, those of several words where the last is one of those asked for (or has its place
+    in the map of ASKED_BITS bits, all that comes to the driver). Each end is joined with its contexts, and with the beginnings and
+    tails of known words where its last word isn't known.
+    """
+    last = F.element_at(F.split("end", " "), -1)
+    asked = bytearray(ASKED_BITS)
+    for r in ends.select(F.pmod(F.crc32(last.cast("binary")), F.lit(ASKED_BITS)).cast("int").alias("bit")).distinct().toLocalIterator():
+        asked[r.bit] = 1
+    counted = cut(count_contexts(rows, bytes(asked)), "contexts")
+    seen = counted.select("key", "ended", "went_on", F.lit("context").alias("as"))
+    words = counted.where("not contains(key, ' ')").select("key")
+    flag = lambda c, kind: words.select(c.alias("key")).distinct().select("key", F.lit(1).cast("long").alias("ended"), F.lit(0).cast("long").alias("went_on"), F.lit(kind).alias("as"))
+    begun = flag(F.explode(F.expr("transform(filter(sequence(0, length(key)), n -> n >= 3 and n < length(key)), n -> left(key, n))")), "begun")
+    facts = seen.union(begun).union(flag(F.expr("right(key, 3)"), "tail"))
+    look = lambda c, kind: F.struct(c.alias("key"), F.lit(kind).alias("as"))
+    wanted = ends.select("end", F.explode(F.array(look(F.col("end"), "context"), look(F.expr("substring_index(end, ' ', -2)"), "context"), look(last, "context"), look(last, "begun"), look(F.expr("right(substring_index(end, ' ', -1), 3)"), "tail"))).alias("k")).select("end", "k.*")
+    met = wanted.join(facts, ["key", "as"]).groupBy("end").agg(F.collect_list(F.struct("as", "key", "ended", "went_on")).alias("facts"))  # five at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for end, facts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                of = {kind: [f for f in facts or [] if f["as"] == kind] for kind in ("context", "begun", "tail")}
+                model = TerminalModel({f["key"]: f["ended"] for f in of["context"]}, {f["key"]: f["went_on"] for f in of["context"]}, [f["key"] for f in of["begun"]], [f["key"] for f in of["tail"]])
+                keep.append(model.goes_on(end.split(" ")))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, type=pa.bool_()))], names=["end"])
+
+    return ends.join(met, "end", "left").select("end", "facts").mapInArrow(run, "end string")
+
+
+def pair_defects(rows: DataFrame) -> DataFrame:
     """(src, rec_id, defect) of every record of `rows` (src, rec_id, prompt, answer), defect null where it is sound.
 
     One defect a record: empty before copy, refusal, other_language and truncated. Null answers are
-    empty; a null prompt has no language and no copies. All records are judged, whole; only the terminal
-    model is fitted on a bounded number of answers. A small table is spread over the cores, a large one isn't shuffled beyond the fit.
+    empty; a null prompt has no language and no copies. All records are judged, whole, and the terminal
+    model is fitted on all answers: a record that it decides is judged first but for that, then by its last words.
+    A small table is spread over the cores, a large one isn't shuffled beyond the fit.
     """
     rows = cut(rows, "pairs")
-    model = rows.sparkSession.sparkContext.broadcast(fit_terminal(rows, answers))
-    schema = T.StructType([rows.schema["src"], rows.schema["rec_id"], T.StructField("defect", T.StringType())])
+    schema = T.StructType([rows.schema["src"], rows.schema["rec_id"], T.StructField("defect", T.StringType()), T.StructField("end", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [defect(p, a, model.value) for p, a in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, type=pa.string())], names=["src", "rec_id", "defect"])
-
-    return spread(rows.select("src", "rec_id", "prompt", "answer")).mapInArrow(run, schema)
+            out, ends = [], []
+            for p, a in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                asked = Asked()
+                out.append(defect(p, a, asked))
+                ends.append(asked.end)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, type=pa.string()), pa.array(ends, type=pa.string())], names=schema.names)
+
+    judged = cut(spread(rows.select("src", "rec_id", "prompt", "answer")).mapInArrow(run, schema), "judged")
+    ends = cut(judged.where("end is not null").select("end").distinct(), "ends")
+    late = open_ends(ends, rows).withColumn("late", F.lit("truncated"))
+    return judged.join(late, "end", "left").select("src", "rec_id", F.coalesce("defect", "late").alias("defect"))

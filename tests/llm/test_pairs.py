@@ -79,6 +79,22 @@ def test_model_learns_the_ends_of_long_answers(spark):
     assert P.fit_terminal(rows_).ended["omega"] == 1
 
 
+def test_every_answer_is_in_the_model(spark):
+    """A word that ends a sentence in one answer of many thousands is known, whichever answer it is."""
+    sound = [("s", i, "When is it?", "We kept the sharp ones after the review.") for i in range(42_000)]
+    odd = [("s", -1 - i, "When is it?", f"We kept the sharp ones after a zq{i}x.") for i in range(40)] + [("t", i, "When is it?", f"We kept the sharp ones after zq{i}x") for i in range(40)]
+    table = spark.createDataFrame(sound + odd, "src string, rec_id long, prompt string, answer string")
+    got = P.pair_defects(table).where("src = 't'").collect()
+    assert len(got) == 40 and all(r.defect is None for r in got)
+
+
+def test_looked_up_ends_are_judged_as_by_the_model(spark, model):
+    texts = ["We kept the sharp ones after the review", "It helps to sort the notes and to keep the", "Most of the pictures were taken in the gard", "It helps to sort the notes and to keep zzz", "It helps to sort the notes and to keep unlabels", "I would sort the labels first"]
+    answers = spark.createDataFrame([("s", i, "When is it?", t) for i, t in enumerate(SOUND * 5 + texts)], "src string, rec_id long, prompt string, answer string")
+    got = {r.rec_id: r.defect for r in P.pair_defects(answers).collect()}
+    assert [got[len(SOUND) * 5 + i] for i in range(len(texts))] == [P.defect("When is it?", t, P.fit_terminal(answers)) for t in texts]
+
+
 def test_operator(spark):
     r = random.Random(1)
     sound = [(i, None, "When is it?", " ".join(r.choice(SOUND) for _ in range(3)), None) for i in range(300)]
