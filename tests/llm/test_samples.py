@@ -1,15 +1,18 @@
 import random
+import time
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from millrace.llm import similarity_clusters as S
 from millrace.llm.source_mix import mix_sources
 from millrace.llm.target_sample import draw_sample
 from millrace.llm.token_ids import BYTE_BPE, TOKENIZERS
+from millrace.plans import runtime
 
 SHOT = "img_id long, dataset_id string, image_path string, shot_type string, face_angles string, scanned_ts string"
 TARGET = "dataset_id string, field_name string, category string, target_pct int, draw_rows int, min_rows int"
@@ -124,3 +127,28 @@ def test_medoids_by_all_alike_and_for_every_member(spark):
     chain = [x for x in got if x.cluster_key == "f00"]
     assert len(chain) >= 4 and max(x.part_size for x in chain) <= 3 and sum(x.part_size for x in chain) == 12
     assert [x.medoid for x in got if x.cluster_key == "f12"] == ["f16"]
+
+
+def test_tables_of_rounds_are_removed(spark):
+    """What only one round reads isn't kept on disk after it."""
+    folder = Path(runtime._tables(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    r = np.random.default_rng(3)
+    vecs = runtime.cut(spark.createDataFrame([(i, [float(x) for x in np.eye(24)[i % 4] + 0.02 * r.standard_normal(24)]) for i in range(60)], "id long, vec array<float>"))
+    groups, _ = S.similar_groups(vecs)
+    assert groups.count() == 60 and groups.select("component").distinct().count() == 4
+    kept = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert not kept & {"signatures", "sums", "centroids", "slice", "near-groups", "near", "sizes"}
+
+
+def test_shuffle_files_go_when_a_table_is_cut(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum(".data" in str(disk.getAllFiles().apply(i)) for i in range(disk.getAllFiles().size()))
+    before = files()
+    for i in range(5):
+        runtime.cut(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(25):  # they are removed in the background
+        if files() <= before:
+            return
+        time.sleep(0.2)
+    assert False, (before, files())
