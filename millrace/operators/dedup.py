@@ -61,18 +61,27 @@ def near_duplicates(rows: DataFrame, pairs: DataFrame, key: str, order: str) ->
     return rows.select(key).join(kept.withColumn("kept", F.lit(True)), key, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
+def piece_masks(varying: int, most: int, agree: int) -> list[int]:
+    """The bits of each choice of `agree` of most + agree pieces, into which the bits of `varying` are cut."""
+    bits = [i for i in range(64) if varying >> i & 1]
+    n = most + agree
+    edges = [round(len(bits) * i / n) for i in range(n + 1)]
+    pieces = [sum(1 << i for i in bits[a:b]) for a, b in zip(edges, edges[1:])]
+    return [sum(chosen) for chosen in combinations(pieces, agree)]
+
+
 def hash_pairs(rows: DataFrame, key: str, c: str, most: int = 5, agree: int = 3) -> DataFrame:
     """(src, dst, bits): pairs src < dst of rows whose 64-bit hashes differ in at most `most` bits, none missed.
 
-    The hash is cut into most + agree pieces; two hashes within `most` bits have at least `agree` pieces in common, so each
-    choice of that many pieces is a key and only rows with an equal key are compared. More agreeing pieces make rarer
-    keys. Equal hashes give their pairs too; call it on distinct ones where a hash may be frequent. Null hashes have no pairs.
+    The bits in which any two hashes differ (one number, taken first) are cut into most + agree pieces; two hashes within
+    `most` bits have at least `agree` pieces in common, so each choice of that many pieces is a key and only rows with an equal key
+    are compared. Bits that are the same in all hashes are in no piece, as a key of them would be every row's. More agreeing
+    pieces make rarer keys. Equal hashes give their pairs too; call it on distinct ones where a hash may be frequent. Null hashes have no pairs.
     """
-    n = most + agree
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    piece = [F.shiftrightunsigned(F.shiftleft(F.col("h"), 64 - b), 64 - b + a) for a, b in zip(edges, edges[1:])]
-    keys = [F.xxhash64(F.lit(k), *[piece[i] for i in chosen]) for k, chosen in enumerate(combinations(range(n), agree))]
     hashed = rows.where(F.col(c).isNotNull()).select(F.col(key).alias("id"), F.col(c).alias("h"))
+    varying = hashed.agg(F.bit_or("h").bitwiseXOR(F.bit_and("h"))).first()[0] or 0
+    masks = piece_masks(varying, most, agree)
+    keys = [F.xxhash64(F.lit(k), F.col("h").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long"))) for k, m in enumerate(masks)]
     placed_ = hashed.select("id", "h", F.explode(F.array(*keys)).alias("k"))
     met = placed_.alias("a").join(placed_.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")))
     bits = hamming(F.col("a.h"), F.col("b.h"))

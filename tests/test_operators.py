@@ -1,4 +1,5 @@
 import pickle
+import random
 
 import numpy as np
 import pytest
@@ -227,3 +228,14 @@ def test_near_pairs_of_a_wide_threshold_and_a_hot_group(spark):
         assert {(p.src, p.dst) for p in vectors.near_pairs(df, "id", "e", 0.8).collect()} == want
     finally:
         vectors.SALT_ROWS = before
+
+
+def test_hash_keys_hold_only_bits_that_differ(spark):
+    """24 bits of 64 differ, the sign among them: every key has bits of its own, and no pair is missed."""
+    varying = (1 << 23) - 1 | 1 << 63
+    masks = dedup.piece_masks(varying, 5, 3)
+    assert len(masks) == 56 and all(m and m & ~varying == 0 for m in masks) and min(m.bit_count() for m in masks) >= 9
+    r = random.Random(5)
+    hs = sorted({(r.getrandbits(23) | 1 << 40) - r.randrange(2) * (1 << 63) for _ in range(300)})
+    got = {(x.src, x.dst) for x in dedup.hash_pairs(spark.createDataFrame([(h,) for h in hs], "h long"), "h", "h").collect()}
+    assert got == {(a, b) for a in hs for b in hs if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 5} and got
