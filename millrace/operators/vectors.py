@@ -96,6 +96,83 @@ def near_pairs(df: DataFrame, key: str, c: str, eps: float, directions: int = 64
     return full.select("src", "dst", (F.lit(1.0) - dot).alias("distance")).where(F.col("distance") <= eps)
 
 
+def _winners(cosine: float, rows: int, directions: int) -> tuple[int, int]:
+    """(winners a key, bands) that miss a pair at the limit less than MISS and make the fewest keys and meetings of that many rows; a key costs as much as five meetings."""
+    p = _collision(cosine, directions)
+    found = []
+    for width in range(1, 5):
+        bands = 1 if p >= 1 else int(np.ceil(np.log(MISS) / np.log(max(1e-9, 1 - p**width))))
+        found.append((bands * (5 * rows + rows * rows / 2 / (2 * directions) ** width), width, max(1, bands)))
+    return min(found)[1:]
+
+
+def signatures(df: DataFrame, key: str, c: str, cosine: float, rows: int, directions: int = 32, seed: int = 6) -> DataFrame:
+    """(key, keys, s0, ...) of each vector that isn't null, empty or zero: a key a band, made of the winners of one or more blocks of random directions, and the signs of random projections.
+
+    Two vectors at that cosine or nearer have no key in common less than once in ten thousand. rows: about how many vectors there are.
+    """
+    width, bands = _winners(cosine, rows, directions)
+    named = df.select(F.col(key), F.col(c).cast("array<double>").alias("v")).where(F.size("v") > 0).where(F.exists("v", lambda x: x != 0))
+    schema = T.StructType([named.schema[key], T.StructField("keys", T.ArrayType(T.LongType())), *(T.StructField(s, T.LongType()) for s in _SIGNS)])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = {}
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                b = whole.slice(lo, SLICE)
+                sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                for size in np.unique(sizes):
+                    at = pa.array(np.flatnonzero(sizes == size))
+                    x = np.asarray(b.column(1).take(at).flatten()).reshape(len(at), -1)
+                    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+                    if size not in made:
+                        r = np.random.default_rng(seed)
+                        made = {size: (r.standard_normal((int(size), BITS), dtype=np.float32), r.standard_normal((bands, int(size), width * directions), dtype=np.float32))}
+                    planes, blocks = made[size]
+                    signs = np.packbits(x @ planes > 0, axis=1).view(np.int64)
+                    keys = np.empty((len(at), bands), dtype=np.int64)
+                    for band in range(bands):
+                        p = (x @ blocks[band]).reshape(len(at), width, directions)
+                        best = np.abs(p).argmax(2)
+                        won = best * 2 + (np.take_along_axis(p, best[:, :, None], 2)[:, :, 0] > 0)
+                        keys[:, band] = band
+                        for k in range(width):
+                            keys[:, band] = keys[:, band] * 2 * directions + won[:, k]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), lists, *(pa.array(np.ascontiguousarray(signs[:, i])) for i in range(len(_SIGNS)))], names=[f.name for f in schema.fields])
+
+    return spread(named).mapInArrow(keyed, schema)
+
+
+def met(left: DataFrame, right: DataFrame, key: str, cosine: float, on) -> DataFrame:
+    """(src, dst, equal): pairs of a row of left and one of right with a key in common that the signs let pass; on: a further condition. Rows: columns of `signatures` and any others, of left with l_, of right with r_ before the name."""
+    agree = 1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi
+    least = int(np.floor(BITS * agree - DEVIATIONS * np.sqrt(BITS * agree * (1 - agree))))
+    side = lambda df, x: df.select(F.explode("keys").alias("k"), *[F.col(c).alias(f"{x}_{c}") for c in df.columns if c != "keys"])
+    equal = F.lit(BITS) - sum((F.bit_count(F.col(f"l_{s}").bitwiseXOR(F.col(f"r_{s}"))) for s in _SIGNS[1:]), F.bit_count(F.col(f"l_{_SIGNS[0]}").bitwiseXOR(F.col(f"r_{_SIGNS[0]}"))))
+    pairs = side(left, "l").join(side(right, "r"), "k").where(on).select(F.col(f"l_{key}").alias("src"), F.col(f"r_{key}").alias("dst"), equal.alias("equal"))
+    return pairs.where(F.col("equal") >= least).distinct()
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame, key: str, c: str, cosine: float) -> DataFrame:
+    """The pairs (src, dst) whose vectors have one length and a cosine of at least `cosine`, in doubles."""
+    full = pairs.select("src", "dst").join(rows.select(F.col(key).alias("src"), F.col(c).alias("va")), "src").join(rows.select(F.col(key).alias("dst"), F.col(c).alias("vb")), "dst").where(F.size("va") == F.size("vb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                b = whole.slice(lo, SLICE)
+                sizes = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
+                for size in np.unique(sizes):
+                    at = pa.array(np.flatnonzero(sizes == size))
+                    x, y = (np.asarray(b.column(i).take(at).flatten()).astype(np.float64).reshape(len(at), -1) for i in (2, 3))
+                    ok = pa.array(np.flatnonzero((x * y).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) >= cosine - 1e-12))
+                    yield pa.RecordBatch.from_arrays([b.column(i).take(at).take(ok) for i in (0, 1)], names=["src", "dst"])
+
+    full = full.select("src", "dst", "va", "vb")
+    return full.mapInArrow(run, full.select("src", "dst").schema)
+
+
 def density_clusters(df: DataFrame, key: str, c: str, eps: float, least: int = 2) -> DataFrame:
     """(id, label) of every vector: the rank of its component by least id among components of at least `least`, else -1.
 

@@ -239,3 +239,36 @@ def test_hash_keys_hold_only_bits_that_differ(spark):
     hs = sorted({(r.getrandbits(23) | 1 << 40) - r.randrange(2) * (1 << 63) for _ in range(300)})
     got = {(x.src, x.dst) for x in dedup.hash_pairs(spark.createDataFrame([(h,) for h in hs], "h long"), "h", "h").collect()}
     assert got == {(a, b) for a in hs for b in hs if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 5} and got
+
+
+def test_alike_images_give_few_pairs(spark, monkeypatch):
+    """The pass in stretches keeps what a pass over all pairs keeps, and no table holds the pairs of all alike images."""
+    seen, cut = [], dedup.cut
+
+    def counted(df, name="step"):
+        out = cut(df, name)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(dedup, "cut", counted)
+    monkeypatch.setattr(dedup, "STRETCH", 64, raising=False)
+    r = np.random.default_rng(8)
+    people = r.standard_normal((4, 48))
+    vecs = [people[k % 4 if k % 9 else 0] + r.standard_normal(48) * (0.1 + 0.1 * (k % 4)) if k % 11 else r.standard_normal(48) for k in range(400)]
+    hashes = [None if k % 3 else int(sum(1 << i for i in range(24) if v[i] > 0)) for k, v in enumerate(vecs)]
+    vecs = [None if k % 50 == 7 else [float(x) for x in v] for k, v in enumerate(vecs)]
+    data = [(k, f"d{k}", h, v, float((k * 37) % 400)) for k, (h, v) in enumerate(zip(hashes, vecs))]
+    df = spark.createDataFrame(data, "img long, digest string, h long, v array<double>, q double")
+    got = {x.img: x.status for x in dedup.image_duplicates(df, "img", "digest", "h", "v", "q", least_dot=0.8).collect()}
+
+    def near(a, b):
+        if hashes[a] is not None and hashes[b] is not None:
+            return (hashes[a] ^ hashes[b]).bit_count() <= 5
+        return vecs[a] is not None and vecs[b] is not None and np.dot(vecs[a], vecs[b]) >= 0.8 * np.linalg.norm(vecs[a]) * np.linalg.norm(vecs[b])
+
+    kept = []
+    for k in sorted(range(400), key=lambda k: -data[k][4]):
+        if not any(near(k, x) for x in kept):
+            kept.append(k)
+    assert {k for k, s in got.items() if s == "kept"} == set(kept) and len(got) == 400
+    assert max(seen) <= 4000
