@@ -152,3 +152,20 @@ def test_shuffle_files_go_when_a_table_is_cut(spark):
             return
         time.sleep(0.2)
     assert False, (before, files())
+
+
+def test_packed_vectors_are_the_same(spark, monkeypatch):
+    """Sixteenths take a byte a number on disk, any float comes back as it was, and groups in slices are those of lists."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.integers(-100, 100, (4, 24)) / 16, r.standard_normal((3, 24)), r.integers(-30000, 30000, (2, 24)), np.zeros((1, 24)), np.full((1, 24), 1e30)]).astype(np.float32)
+    held = S.pack(x)
+    assert (S._vectors(held) == x).all() and (S._vectors(held.slice(2, 6)) == x[2:8]).all() and set(S._lengths(held)) == {24}
+    assert [len(v.as_py()) for v in held] == [26] * 4 + [98] * 3 + [50] * 2 + [26, 98]
+    monkeypatch.setattr(S, "SLICE_VECTORS", 20)
+    people = r.integers(-40, 40, (4, 48))
+    vecs = [[float(v) / 16 for v in people[i % 4] + r.integers(-9, 9, 48)] for i in range(60)] + [[1.5, -0.25]]
+    data = [(i, f"p{i:02d}", [{"embedding": v}, {"embedding": None}]) for i, v in enumerate(vecs)] + [(99, "p03", None)]
+    found = S.valid_faces(spark.createDataFrame(data, "log_id long, image_path string, faces array<struct<embedding: array<float>>>"))
+    assert {len(x.vec) for x in found.collect()} == {50, 4} and found.count() == 60
+    parts = S.face_clusters(found, S.similar_groups(found.select("id", "vec"))[0]).collect()
+    assert {(x.face_key, x.cluster_key) for x in parts} == {(f"p{i:02d}#0", f"p{i % 4 if i % 4 < 3 else 7:02d}#0") for i in range(60) if i != 3}
